@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, licences, media, packing, quality, sharding, toxicity, urls
+from . import contamination, licences, media, near, packing, passages, quality, sharding, toxicity, urls
 from .fitting import held_out
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -37,6 +37,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(digits).withColumn("held_out", held_out()).select("doc_id", "source", "lang", "held_out", *digits, "keep")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of each document that has any; the others have none to report."""
+    found = passages.repeated(_read(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("starts") > 0)
+    spans, later = passages.merged(F.col("starts")), passages.merged(F.col("later"))
+
+    def total(a):
+        return F.aggregate(a, F.lit(0).cast("long"), lambda n, p: n + p["last"] - p["first"])
+
+    return found.select("doc_id", "n_words", "first_row", total(spans).alias("n_repeated"), total(later).alias("n_later"), spans.alias("passages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -88,7 +103,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op4_sharding, op5_packing, op6_licences, op7_urls, op8_decontamination, op9_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_passages, op4_sharding, op5_packing, op6_licences, op7_urls, op8_decontamination, op9_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
