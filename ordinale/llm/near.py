@@ -208,3 +208,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     out = signed.join(known, "fp", "left")
     n_copies = F.coalesce(F.col("copies") - 1, F.lit(0))
     return out.select(key, F.when(F.col("fp").isNull(), F.col(key)).otherwise(F.col("least")).alias("class_id"), (n_copies + F.coalesce("links", F.lit(0))).alias("n_links"), n_copies.alias("n_copies"), "n_words", "_text")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """`docs` with one document of each class: the one with the class's id, all of its columns kept.
+
+    Where several rows share that id, each different text among them that belongs to the
+    class stays once. Of a class without an id (null keys throughout) every different
+    text stays once. Rows without words are in no class and all stay.
+    """
+    found = near_duplicates(docs, key, text, threshold, recall)
+    out = found.where((F.col("n_words") > 0) & (~F.col(key).eqNullSafe(F.col("class_id")))).select(F.col(key).alias("_key"), F.col("_text").alias("_hash")).distinct()
+    left = docs.withColumn("_own", F.xxhash64(text)).join(out, (F.col("_own") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    repeats = found.where((F.col("n_words") > 0) & F.col(key).eqNullSafe(F.col("class_id"))).groupBy(key, "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeats:  # rows that repeat key and text
+        some = F.coalesce(F.col(text), F.lit("")).rlike("[0-9A-Za-z\u0080-\U0010ffff]")
+        left = left.where(some).dropDuplicates([key, "_own"]).unionByName(left.where(~some))
+    return left.select(*docs.columns)
