@@ -222,6 +222,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     left = docs.withColumn("_own", F.xxhash64(text)).join(out, (F.col("_own") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti")
     repeats = found.where((F.col("n_words") > 0) & F.col(key).eqNullSafe(F.col("class_id"))).groupBy(key, "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeats:  # rows that repeat key and text
-        some = F.coalesce(F.col(text), F.lit("")).rlike("[0-9A-Za-z\u0080-\U0010ffff]")
+        some = F.coalesce(F.col(text), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
         left = left.where(some).dropDuplicates([key, "_own"]).unionByName(left.where(~some))
     return left.select(*docs.columns)
