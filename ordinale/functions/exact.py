@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
 _EXACT = "decimal(38,0)"
 
 
+def _nan() -> Column:
+    return F.lit(float("nan"))
+
+
 def wrapped(exact: Column) -> Column:
     """An exact decimal integer as 64 bits."""
     half, whole = (F.lit(str(n)).cast("decimal(20,0)") for n in (2**63, 2**64))
@@ -38,12 +41,12 @@ def multiply_i64(x: Column, y: Column) -> Column:
 
 def to_f64(x: Column) -> Column:
     """An integer or float as a float; null is NaN."""
-    return F.coalesce(x.cast("double"), NAN)
+    return F.coalesce(x.cast("double"), _nan())
 
 
 def divide(x: Column, y: Column) -> Column:
     """IEEE division of floats without nulls. The sign of a zero divisor is not looked at."""
-    return F.when(y != 0, x / y).when((x == 0) | F.isnan(x), NAN).otherwise(F.signum(x) * INF)
+    return F.when(y != 0, x / y).when((x == 0) | F.isnan(x), _nan()).otherwise(F.signum(x) * F.lit(float("inf")))
 
 
 def equal_i64(x: Column, y: Column) -> Column:

@@ -20,7 +20,10 @@ BUCKET = 1 << 20
 #: Frames of up to this many rows take one window.
 SMALL = 1 << 20
 
-_before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+def _before():
+    """The buckets before each; one row a bucket, so few that one task may hold them."""
+    return Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _bucket(bucket: int) -> Column:
@@ -35,7 +38,7 @@ def renumbered(df: DataFrame, rows: int | None = None, bucket: int = BUCKET) ->
         return df.withColumnRenamed(POS, old).select((F.row_number().over(Window.orderBy(old)) - 1).cast("bigint").alias(POS), *others)
     cut = df.withColumn("_b", _bucket(bucket))
     totals = cut.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = totals.select(F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(_before), F.lit(0)).alias("_o"))
+    offsets = totals.select(F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_o"))
     ranked = cut.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(POS)))
     return ranked.join(offsets, F.col("_b") == F.col("_ob")).select((F.col("_r") - 1 + F.col("_o")).cast("bigint").alias(POS), *others)
 
@@ -54,7 +57,7 @@ def numbered(df: DataFrame, order: list[Column], rows: int | None = None) -> Dat
     held = ordered.select(*others, F.monotonically_increasing_id().alias("_i")).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_i", 33)
     totals = held.groupBy(part.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = totals.select("_b", F.coalesce(F.sum("_n").over(_before), F.lit(0)).alias("_o"))
+    offsets = totals.select("_b", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_o"))
     return held.withColumn("_b", part).join(F.broadcast(offsets), "_b").select((F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_o")).cast("bigint").alias(POS), *others)
 
 
@@ -75,7 +78,7 @@ def running_sum(df: DataFrame, column: Column, integer: bool, name: str, rows: i
         return summed.select(POS, finish({n: F.col(n) for n in parts}).alias(name))
     cut = cut.withColumn("_b", _bucket(bucket))
     totals = cut.groupBy("_b").agg(*(F.sum(n).alias(f"_t{n}") for n in parts))
-    offsets = totals.select(F.col("_b").alias("_ob"), *(F.coalesce(F.sum(f"_t{n}").over(_before), F.lit(0)).alias(f"_o{n}") for n in parts))
+    offsets = totals.select(F.col("_b").alias("_ob"), *(F.coalesce(F.sum(f"_t{n}").over(_before()), F.lit(0)).alias(f"_o{n}") for n in parts))
     upto = Window.partitionBy("_b").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.select(POS, "_b", *(F.sum(n).over(upto).alias(n) for n in parts))
     both = summed.join(offsets, F.col("_b") == F.col("_ob"))
