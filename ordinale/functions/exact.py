@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EXACT = "decimal(38,0)"
-
 
 def _nan() -> Column:
     return F.lit(float("nan"))
@@ -23,20 +21,25 @@ def wrapped(exact: Column) -> Column:
     return (F.pmod(exact + half, whole) - half).cast("bigint")
 
 
-def _exact(x: Column) -> Column:
-    return x.cast("decimal(19,0)")
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def add_i64(x: Column, y: Column) -> Column:
-    return F.coalesce(F.try_add(x, y), wrapped(_exact(x) + _exact(y)))
+    """x + y mod 2^64, by halves that can't overflow: no branch, no decimals and no checked addition."""
+    low = _low(x) + _low(y)
+    high = F.shiftright(x, 32) + F.shiftright(y, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(_low(low))
 
 
 def subtract_i64(x: Column, y: Column) -> Column:
-    return F.coalesce(F.try_subtract(x, y), wrapped(_exact(x) - _exact(y)))
+    low = _low(x) - _low(y)
+    high = F.shiftright(x, 32) - F.shiftright(y, 32) + F.shiftright(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(_low(low))
 
 
 def multiply_i64(x: Column, y: Column) -> Column:
-    return F.coalesce(F.try_multiply(x, y), wrapped((_exact(x) * _exact(y)).cast(_EXACT)))
+    return F.coalesce(F.try_multiply(x, y), wrapped((x.cast("decimal(19,0)") * y.cast("decimal(19,0)")).cast("decimal(38,0)")))
 
 
 def to_f64(x: Column) -> Column:
@@ -110,8 +113,17 @@ def limbs(x: Column) -> tuple[Column, Column, Column]:
 
 def joined(high: Column, middle: Column, low: Column) -> Column:
     """The wrapped integer of the sums of limbs; no rows sum to 0."""
-    high, middle, low = (F.coalesce(c, F.lit(0)).cast("decimal(20,0)") for c in (high, middle, low))
-    return wrapped((high * F.lit(2**48).cast("decimal(16,0)") + middle * F.lit(2**24).cast("decimal(9,0)") + low).cast(_EXACT))
+    high, middle, low = (F.coalesce(c, F.lit(0).cast("bigint")) for c in (high, middle, low))
+    return add_i64(add_i64(F.shiftleft(high, 48), F.shiftleft(middle, 24)), low)
+
+
+def halves(x: Column) -> tuple[Column, Column]:
+    """Two parts of an integer whose sums can't overflow below 2^31 rows."""
+    return F.shiftright(x, 32), _low(x)
+
+
+def joined_halves(high: Column, low: Column) -> Column:
+    return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(_low(low))
 
 
 def sum_i64(x: Column) -> Column:

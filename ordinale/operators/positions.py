@@ -64,25 +64,30 @@ def numbered(df: DataFrame, order: list[Column], rows: int | None = None) -> Dat
 def running_sum(df: DataFrame, column: Column, integer: bool, name: str, rows: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(pos, name): the sum of all values up to each position. Null integers count as 0; sums wrap."""
     if integer:
-        parts = dict(zip(("_h", "_m", "_l"), exact.limbs(F.coalesce(column, F.lit(0).cast("bigint"))), strict=True))
+        parts = dict(zip(("_h", "_l"), exact.halves(F.coalesce(column, F.lit(0).cast("bigint"))), strict=True))
     else:
         parts = {"_f": column}
     cut = df.select(POS, *(c.alias(n) for n, c in parts.items()))
 
-    def finish(sums: dict[str, Column]) -> Column:
-        return exact.joined(*sums.values()) if integer else sums["_f"]
+    def finish(sums: list[Column]) -> Column:
+        return exact.joined_halves(*sums) if integer else sums[0]
 
     if rows is not None and rows <= SMALL:
         upto = Window.orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
         summed = cut.select(POS, *(F.sum(n).over(upto).alias(n) for n in parts))
-        return summed.select(POS, finish({n: F.col(n) for n in parts}).alias(name))
+        return summed.select(POS, finish([F.col(n) for n in parts]).alias(name))
     cut = cut.withColumn("_b", _bucket(bucket))
-    totals = cut.groupBy("_b").agg(*(F.sum(n).alias(f"_t{n}") for n in parts))
-    offsets = totals.select(F.col("_b").alias("_ob"), *(F.coalesce(F.sum(f"_t{n}").over(_before()), F.lit(0)).alias(f"_o{n}") for n in parts))
+    totals = cut.groupBy("_b").agg(finish([F.sum(n) for n in parts]).alias("_t"))
+    if integer:  # totals are wrapped already; limbs add up any number of them
+        offset = exact.joined(*(F.sum(c).over(_before()) for c in exact.limbs(F.col("_t"))))
+    else:
+        offset = F.coalesce(F.sum("_t").over(_before()), F.lit(0.0))
+    offsets = totals.select(F.col("_b").alias("_ob"), offset.alias("_o"))
     upto = Window.partitionBy("_b").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.select(POS, "_b", *(F.sum(n).over(upto).alias(n) for n in parts))
+    inner = finish([F.col(n) for n in parts])
     both = summed.join(offsets, F.col("_b") == F.col("_ob"))
-    return both.select(POS, finish({n: F.col(n) + F.col(f"_o{n}") for n in parts}).alias(name))
+    return both.select(POS, (exact.add_i64(inner, F.col("_o")) if integer else inner + F.col("_o")).alias(name))
 
 
 def previous(df: DataFrame, column: Column, name: str, before: str, rows: int | None = None, bucket: int = BUCKET) -> DataFrame:

@@ -70,15 +70,15 @@ class Shell:
     def evaluate(self, source: str) -> str:
         """The result as text. An interrupt cancels the statement's jobs and no others."""
         tag = f"ordinale-{next(_tags)}"
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         try:
             with Progress(self.spark, self.err) if self.progress else contextlib.nullcontext():
                 return shown(self.session.eval(source), self.spark, self.columns)
         except KeyboardInterrupt:
-            self.spark.interruptTag(tag)
+            self.spark.sparkContext.cancelJobsWithTag(tag)
             raise Cancelled("cancelled") from None
         finally:
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
 
     def line(self, text: str) -> bool:
         """Handle one line; False if it asks to leave."""

@@ -25,13 +25,15 @@ def frame(df: DataFrame, pos: str | None = None, order: list[str | Column] | Non
     """A frame over a table.
 
     `pos` names a column that is unique and runs from 0 without gaps: nothing is computed.
-    Otherwise rows are numbered by `order`, which must be a total order.
+    Otherwise rows are numbered by `order`, which must be a total order; they are counted
+    first, as small tables are numbered in another way than large ones.
     """
     if pos is not None:
         return Frame(df.withColumn(POS, F.col(pos).cast("bigint")))
     if not order:
         raise ValueError("name a position column or a total order")
-    return Frame(numbered(df, [F.col(c) if isinstance(c, str) else c for c in order]))
+    rows = df.count()
+    return Frame(numbered(df, [F.col(c) if isinstance(c, str) else c for c in order], rows), rows)
 
 
 def write(value: Value, path: str, format: str = "parquet", mode: str = "error") -> None:

@@ -1,0 +1,87 @@
+"""Formatting, the shell's commands and pipe mode, cancellation, streams."""
+
+import io
+import threading
+import time
+
+import pytest
+
+from ordinale.formatting import shown
+from ordinale.plans.session import Session
+from ordinale.shell import HELP, Shell
+
+SHOWN = [
+    ("42", "42"), ("1 2 3", "1 2 3"), ("1 0N 0W", "1 0N 0W"), ("4.0 1.5", "4.0 1.5"), ("0n 0w", "0n 0w"), ("0 - 0w", "0w"), ("1 2 = 1 3", "10b"), ("1 = 1", "1b"), ('"abc"', '"abc"'), ("`a`b", "`a`b"), ("`a", "`a"),
+    ("1 2!3 4", "<Dict>"), ("+1 2!3 4", "<Table>"), ("(1;2.0)", "<List>"), ("{x}", "<Lambda>"), ("$4.0", '"4"'), ("!10", "0 1 2 3 4 5 6 7 8 9"), ("!0", ""),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), SHOWN)
+def test_shown(spark, source, want):
+    assert shown(Session(spark).eval(source), spark, 80) == want
+
+
+def test_cut_to_width(spark):
+    line = shown(Session(spark).eval("!1000"), spark, 40)
+    assert len(line) == 40 and line.startswith("0 1 2 3") and line.endswith("..")
+
+
+def piped(spark, text):
+    out, err = io.StringIO(), io.StringIO()
+    Shell(spark, out, err, 80).pipe(io.StringIO(text))
+    return out.getvalue(), err.getvalue()
+
+
+def test_pipe(spark):
+    out, err = piped(spark, "x: 1 2 3\n/ a comment\n+/x\nnope\n\\v\n\\\\\n99\n")
+    assert out == "1 2 3\n6\nx\n"
+    assert err == "UndefinedName: nope\n"
+
+
+def test_commands(spark):
+    out, err = piped(spark, "\\h\n\\t +/!10\n\\p\n\\p 0\n\\p 1\n\\p 7\n\\zz\n:q\n1\n")
+    lines = out.splitlines()
+    assert out.startswith(HELP) and "45" in lines and any(x.endswith(" ms") for x in lines)
+    assert [x[:10] for x in lines if x.startswith("parallel")] == ["parallel 1", "parallel 0", "parallel 1"]
+    assert "takes 0 or 1" in err and "unknown command" in err
+    assert lines[-1] != "1"
+
+
+def test_interrupting_a_tag_stops_its_jobs_soon(spark):
+    """What Ctrl-C does: the running jobs of one statement end, the session lives on."""
+    failed = []
+
+    def run():
+        spark.sparkContext.addJobTag("slow")
+        try:
+            Session(spark).eval("x: !300000000000; +/ x % 3").get(spark)
+        except Exception as e:
+            failed.append(e)
+
+    worker = threading.Thread(target=run)
+    worker.start()
+    time.sleep(3)
+    begin = time.perf_counter()
+    while worker.is_alive() and time.perf_counter() - begin < 30:
+        spark.sparkContext.cancelJobsWithTag("slow")
+        worker.join(0.5)
+    assert failed and time.perf_counter() - begin < 30
+    assert Session(spark).eval("+/!10").get(spark) == 45
+
+
+def test_streams(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ordinale.streaming import incremental
+
+    source = spark.range(100).select((F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("id"))).alias("ts"), F.col("id").alias("v"))
+    source.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = incremental.read(spark, str(tmp_path / "in"), source.schema, files=1)
+    query = incremental.running_total(stream, "v").writeStream.format("memory").queryName("totals").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert tuple(spark.table("totals").first()) == (100, 4950)
+    windows = incremental.windowed_total(incremental.read(spark, str(tmp_path / "in"), source.schema), "ts", "v", "10 minutes", "5 minutes")
+    incremental.write(windows, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
+    assert [r.total for r in rows] == [sum(range(10 * i, 10 * i + 10)) for i in range(len(rows))] and len(rows) >= 8
