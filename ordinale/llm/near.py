@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import masked, unmasked
 from .graph import components
 from .storage import cut
 from .words import Words, grams, mix, steps, words
@@ -218,10 +219,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     text stays once. Rows without words are in no class and all stay.
     """
     found = near_duplicates(docs, key, text, threshold, recall)
+    rows, inner = masked(docs, docs.columns)
+    k, t = inner[key], inner[text]
     out = found.where((F.col("n_words") > 0) & (~F.col(key).eqNullSafe(F.col("class_id")))).select(F.col(key).alias("_key"), F.col("_text").alias("_hash")).distinct()
-    left = docs.withColumn("_own", F.xxhash64(text)).join(out, (F.col("_own") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    left = rows.withColumn("_own", F.xxhash64(t)).join(out, (F.col("_own") == F.col("_hash")) & F.col(k).eqNullSafe(F.col("_key")), "left_anti")
     repeats = found.where((F.col("n_words") > 0) & F.col(key).eqNullSafe(F.col("class_id"))).groupBy(key, "_text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeats:  # rows that repeat key and text
-        some = F.coalesce(F.col(text), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
-        left = left.where(some).dropDuplicates([key, "_own"]).unionByName(left.where(~some))
-    return left.select(*docs.columns)
+        some = F.coalesce(F.col(t), F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+        left = left.where(some).dropDuplicates([k, "_own"]).unionByName(left.where(~some))
+    return unmasked(left, inner)

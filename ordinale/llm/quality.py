@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import masked, unmasked
 from .fitting import labelled, logistic, with_label
 from .storage import cut
 from .words import steps, words
@@ -142,7 +143,10 @@ def classify(docs: DataFrame, model: Classifier | None, host: str = "source", pa
     An empty table gives no rows. Groups are summed before they are shuffled, and the
     sums (one row a path) are joined back by equality on host and path.
     """
-    scored = cut(evidence(docs, model, text))
+    made = ("document_quality", "host_quality", "path_quality", "quality", "keep")
+    rows, inner = masked(docs, [c for c in docs.columns if c == text or c not in made])
+    scored = cut(evidence(rows, model, inner.pop(text)))
+    host, path = inner[host], inner[path]
     paths = scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count(F.lit(1)).alias("_n"), F.sum("evidence").alias("_sum"))
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_host_n"), F.sum("_sum").alias("_host_sum"))
     rows, total = hosts.agg(F.sum("_host_n"), F.sum("_host_sum")).first()
@@ -162,5 +166,5 @@ def classify(docs: DataFrame, model: Classifier | None, host: str = "source", pa
     own = (F.col("evidence") / UNIT).alias("document_quality")
     joined = scored.join(sites, scored[host].eqNullSafe(sites["_host"]) & scored[path].eqNullSafe(sites["_path"]))
     odds = logit(F.col("evidence") / UNIT) + SITE_WEIGHT * (logit(F.col("path_quality")) - F.lit(float(np.log(prior / (1 - prior)))))
-    out = joined.select(*(scored[c] for c in scored.columns if c != "evidence"), own, "host_quality", "path_quality", (1 / (1 + F.exp(-odds))).alias("quality"))
-    return out.withColumn("keep", F.col("quality") >= 0.5)
+    posterior = 1 / (1 + F.exp(-odds))
+    return unmasked(joined, inner, own, "host_quality", "path_quality", posterior.alias("quality"), (posterior >= 0.5).alias("keep"))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import masked, unmasked
+
 #: Bytes of filter at most; it is sent to every executor. Longer lists only let more false hits through to the join.
 MOST_BYTES = 32 << 20
 #: Rules up to this number are broadcast; beyond, the join is by shuffle with salted keys.
@@ -88,9 +90,12 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)  # distinct lengths of paths only
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.coalesce(F.col(url).cast("string"), F.lit("")))
-    rows = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
+    own, inner = masked(df.withColumns({"host": host, "path": path}), [*kept, "host", "path"])
+    rows = own.withColumnsRenamed({inner["host"]: "host", inner["path"]: "path"}).withColumn("_row", F.monotonically_increasing_id())
+    inner |= {"host": "host", "path": "path"}
+    kept = [inner[c] for c in kept]
     if not lengths:
-        return rows.drop("_row").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+        return unmasked(rows, inner).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     rows = rows.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths)).withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
     count = listed.count()
     shared = df.sparkSession.sparkContext.broadcast(bloom(listed, "_hash").blocks)
@@ -115,4 +120,4 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
         hit = possible.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], "left")
     best = F.max_by(F.when(F.col("_verdict").isNotNull(), F.struct("_key", "_verdict")), F.when(F.col("_verdict").isNotNull(), F.struct(F.length("_key"), F.col("_long"))))
     out = hit.groupBy("_row").agg(*(F.first(c).alias(c) for c in (*kept, "host", "path")), best.alias("_best"))
-    return out.select(*kept, "host", "path", F.col("_best._key").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+    return unmasked(out, inner, F.col("_best._key").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
