@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import masked, unmasked
 from .words import grams, spans, steps, words
 
 #: Words of the shortest passage; the others follow.
@@ -51,6 +52,34 @@ def anchors(code: np.ndarray, of: np.ndarray, length: int = LENGTH, head: int =
     return start, np.where(gram[b] < gram[a], b, a)
 
 
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (suffix, text) in order: those whose neighbour has the same suffix in another text.
+
+    The first and the last suffix of a partition may go on in the next one and are kept
+    as well; stretches that turn out to be alone fall out when they are compared.
+    """
+    held: tuple | None = None  # the last suffix and text, and whether they are out already
+    first = None
+    for batch in batches:
+        s, t = (batch.column(i).to_numpy() for i in (0, 1))
+        if not len(s):
+            continue
+        if held is not None:
+            s, t = np.append(held[0], s), np.append(held[1], t)
+        fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])))
+        s, t = s[fresh], t[fresh]
+        first = s[0] if first is None else first
+        same = s[1:] == s[:-1]
+        out = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (s == first)
+        done = bool(out[-1])
+        if held is not None and held[2]:
+            out[0], done = False, done or len(s) == 1
+        held = (s[-1], t[-1], done)
+        yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(t[out])], ["suffix", "_hash"])
+    if held is not None and not held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], ["suffix", "_hash"])
+
+
 def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     """`docs` with ``_row``, which orders documents: the key where it is whole and unique, else a hash of key and text."""
     kind = docs.schema[key].dataType
@@ -73,15 +102,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "text"):
-                cut = words(part.column(1))
+                cut = words(part.column(2))
                 of = cut.of()
                 _, at = anchors(cut.code, of, length, head)
                 at = np.unique(at)
-                yield pa.RecordBatch.from_arrays([pa.array(spans(cut.code, at, head).view(np.int64)), pa.array(np.asarray(part.column(0))[of[at]])], ["suffix", "_hash"])
-
-    suffixes = source.select("_hash", "text").mapInArrow(retain, "suffix long, _hash long")
-    shared = suffixes.groupBy("suffix").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b")).where("a < b").select("suffix")
-    seeds = suffixes.join(shared, "suffix").groupBy("_hash").agg(F.collect_set("suffix").alias("seeds"))
+                suffix = spans(cut.code, at, head).view(np.int64)
+                own, text_of = np.unique(np.column_stack((of[at], suffix)), axis=0)[:, ::-1].T if len(at) else (suffix, at)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.asarray(part.column(0))[text_of]), pa.array(np.asarray(part.column(1))[text_of])], ["suffix", "_hash", "_row"])
+
+    suffixes = source.select("_hash", "_row", "text").mapInArrow(retain, "suffix long, _hash long, _row long")
+    order = ("suffix", "_hash", "_row")  # with the row, so that no suffix is too common to be split
+    seeds = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("suffix", "_hash").mapInArrow(neighbours, "suffix long, _hash long")
+    seeds = seeds.groupBy("_hash").agg(F.collect_set("suffix").alias("seeds"))
     texts = source.groupBy("_hash").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +173,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     passages changes.
     """
     found = repeated(docs, key, text, length, head).where(F.size("later") > 0).select("_row", "later").dropDuplicates(["_row"])
-    source = _ids(docs, key, text)
-    joined = source.join(found, "_row", "left").drop("_row")
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_gone", T.BooleanType())])
+    rows, inner = masked(docs, docs.columns)
+    text = inner[text]
+    joined = _ids(rows, inner[key], text).join(found, "_row", "left").drop("_row")
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("_gone", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,4 +204,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             columns = [pa.array(texts, batch.schema.field(text).type) if j == at else batch.column(batch.schema.get_field_index(c)) for j, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone)], schema.fieldNames())
 
-    return joined.select(*names, "later").mapInArrow(run, schema).where(~F.col("_gone")).drop("_gone")
+    return unmasked(joined.select(*names, "later").mapInArrow(run, schema).where(~F.col("_gone")), inner)
