@@ -20,6 +20,8 @@ from .words import mix
 _UNSURE = re.compile(r"[^\t\n\r -~¡-įı-ſ]|<\|")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TOP = 0x180
+#: Characters without a space beyond which a text goes to the library: merging takes as many rounds as a piece has merges.
+LONGEST = 200
 _NEVER = np.int64(1) << 62
 
 
@@ -180,8 +182,11 @@ class BatchEncoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         sure = list(range(len(texts))) if self.fast else []
-        if sure and _UNSURE.search("\n".join(texts)):
-            sure = [i for i, t in enumerate(texts) if not _UNSURE.search(t)]
+        joined = "\n".join(texts)
+        if sure and _UNSURE.search(joined):
+            sure = [i for i in sure if not _UNSURE.search(texts[i])]
+        if sure and max(map(len, joined.split()), default=0) > LONGEST:
+            sure = [i for i in sure if max(map(len, texts[i].split()), default=0) <= LONGEST]
         out: list = [None] * len(texts)
         if sure:
             coded = self._sure([texts[i] for i in sure])

@@ -33,7 +33,11 @@ SIGNS = dict(zip("0134578@$", "oieastbas", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "soap scum", "pathetic fallacy", "class clown")
 #: Terms in the lexicon at most; it is sent to every executor.
 MOST_TERMS = 20_000
-LONGEST_PREFIX = 6
+LONGEST_PREFIX = 10
+#: The log-odds of every text where nothing could be learned.
+UNKNOWN = -4.0
+#: Evidence that a term needs (counts times Kullback-Leibler divergence from the toxic share): chance alone reaches it once in some thousand terms.
+EVIDENCE = 8.0
 
 _FOREIGN = re.compile("[" + "".join(HOMOGLYPHS) + "А-Яа-яΑ-Ωα-ω]")
 _LOOK = str.maketrans(HOMOGLYPHS)
@@ -114,14 +118,14 @@ def _scan(df: DataFrame, text: str, model: Model) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Fit the lexicon and the score on at most `rows` labelled documents (fitting.SAMPLE_ROWS by default).
 
-    A term is listed if a hundredth of the toxic sample has it, and its odds there are
-    twenty times those in the rest. Of the beginnings of one word the longest that loses
-    no more than a twentieth of the documents stays. Without toxic rows, or an empty
-    sample, the lexicon is empty and every score is the toxic share.
+    A term is listed if a hundredth of the toxic sample has it, its odds there are twenty
+    times those in the rest, and chance would hardly bring that about. Of the beginnings of one word the longest that loses
+    no more than a twentieth of the documents stays. Unless the sample holds both labels
+    there is nothing to learn: the lexicon is empty and every score is low.
     """
     sample = labelled(labels, label, key, **({} if rows is None else {"rows": rows}))
     if not sample:
-        return Model({}, exceptions, 1.0, -4.0)
+        return Model({}, exceptions, 1.0, UNKNOWN)
     chosen = with_label(docs.select(key, F.col(text).cast("string").alias("_text")), sample, key).select("_text", "_label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +152,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     totals = sum(sample.values()), len(sample) - sum(sample.values())
     floor = max(3, totals[0] // 100)
     odds = F.log((F.col("toxic") + 0.5) / (totals[0] + 1)) - F.log((F.col("clean") + 0.5) / (totals[1] + 1))
-    found = counts.where((F.col("term") != "") & (F.col("toxic") >= floor)).select("term", "toxic", odds.alias("odds")).where(F.col("odds") >= math.log(20)).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
+    share = totals[0] / (totals[0] + totals[1])
+    n, q = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    evidence = n * (q * F.log(q / max(share, 1e-9)) + F.when(q < 1, (1 - q) * F.log((1 - q) / max(1 - share, 1e-9))).otherwise(0.0))
+    found = counts.where((F.col("term") != "") & (F.col("toxic") >= floor)).select("term", "toxic", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= math.log(20)) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).select("term", "toxic", "odds").collect()
     shares = {t: n for t, n, _ in found}
     weights = {t: w for t, _, w in found}
     lexicon: dict[str, float] = {}
@@ -160,13 +167,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
             if shares[longer] >= 0.95 * shares[t]:
                 best = longer
         lexicon[best] = weights[best]
-    # those that the longest beginning left out
     covered = Model(lexicon, exceptions, 1.0, 0.0)
     rows = _scan(chosen, "_text", covered).select("weight", "_label").collect()  # at most the sample
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return covered._replace(slope=0.0, intercept=math.log(share / (1 - share)))
+        return Model({}, exceptions, 1.0, UNKNOWN)
     slope, intercept = logistic(x[:, None], y, ridge=0.1)
     return covered._replace(slope=float(slope), intercept=float(intercept))
 
