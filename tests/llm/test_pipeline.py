@@ -1,0 +1,53 @@
+"""The pipeline against its stages done one after the other by brute force."""
+
+import corpus_pipeline
+import test_near
+import test_passages
+import test_texts
+
+from ordinale.llm import queries, toxicity
+from ordinale.llm.bpe import BatchEncoder
+from ordinale.llm.words import words_of
+
+
+def test_stages(spark, data):
+    d = f"{data}/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    a = model.automaton()
+    rows = []
+    for r in docs.collect():
+        _, w = toxicity.weigh(toxicity.fold(r.text), a)
+        if 1 / (1 + 2.718281828459045 ** -(model.slope * w + model.intercept)) < 0.3:
+            rows.append((r.doc_id, r.text))
+    assert 150 < len(rows) < 200
+    classes = test_near.brute(rows)
+    rows = [(i, t) for i, t in rows if classes[i][0] == i]
+    later = test_passages.brute(rows)
+    kept = []
+    for i, t in rows:
+        gone = {k for s in later[i][2] for k in range(s, s + 50)}
+        w = [x for k, x in enumerate(words_of(t)) if k not in gone]
+        if w or not gone:
+            kept.append((i, b" ".join(w).decode() if gone else t, bool(gone)))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    hits = test_texts.contamination_brute({i: t for i, t, _ in kept}, items)
+    want = {i: (t, cut) for i, t, cut in kept if not hits[i][4]}
+    out = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id for r in out} == set(want)
+    test_texts.packed_checks(out, {i: t for i, (t, cut) in want.items() if not cut}, BatchEncoder(queries.tokenizer_path()).tokenizer)
+
+
+def test_stages_keep_the_columns(spark, documents, odd, clashing, tmp_path):
+    df, names = clashing(documents(odd))
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+        df = out
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() > 0
+    empty = documents([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
