@@ -87,6 +87,10 @@ def _ids(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn("_row", F.col(key).cast("long") if plain else F.xxhash64(key, text))
 
 
+def _gathered(lists: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists))))
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, head: int = HEAD) -> DataFrame:
     """One row a document: the key, ``n_words``, ``first_row`` (whether it is the first of
     the documents with its text), ``starts`` (first words of its stretches of `length`
@@ -131,14 +135,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
                 good = np.isin(mark(of[start], own), mark(text_of, listed)) if len(start) else np.zeros(0, bool)
                 start = start[good]
                 code = spans(cut.code, start, length) if len(start) else np.zeros(0, np.uint64)
-                row = np.asarray(part.column(0))[of[start]]
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(row), pa.array((start - cut.first[of[start]]).astype(np.int32))], ["stretch", "_first", "start"])
+                order = np.lexsort((start, code, of[start]))  # one row for a text and stretch, with all places of it
+                start, code = start[order], code[order]
+                row = of[start]
+                fresh = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])))[: len(start)])
+                places = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(start)).astype(np.int32)), pa.array((start - cut.first[row]).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(code[fresh].view(np.int64)), pa.array(np.asarray(part.column(0))[row[fresh]]), places], ["stretch", "_first", "starts"])
 
     chosen = seeds.join(texts.select("_hash", "_first"), "_hash").select("_first", "seeds")
     candidates = source.select("_row", "text").join(chosen, F.col("_row") == F.col("_first")).select("_first", "text", "seeds")
-    stretches = candidates.mapInArrow(extend, "stretch long, _first long, start int")
+    stretches = candidates.mapInArrow(extend, "stretch long, _first long, starts array<int>")
     met = stretches.groupBy("stretch").agg(F.min("_first").alias("a"), F.max("_first").alias("b")).where("a < b").select("stretch", "a")
-    found = stretches.join(met, "stretch").groupBy("_first").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.array_sort(F.collect_set(F.when(F.col("a") < F.col("_first"), F.col("start")))).alias("later"))
+    found = stretches.join(met, "stretch").groupBy("_first").agg(_gathered(F.col("starts")).alias("starts"), _gathered(F.when(F.col("a") < F.col("_first"), F.col("starts"))).alias("later"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
