@@ -11,7 +11,8 @@ from ordinale.llm.words import words_of
 
 
 def test_stages(spark, data):
-    d = f"{data}/sf0.001"
+    """At sf0.01, as fewer labels teach no toxic terms."""
+    d = f"{data}/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     model = toxicity.learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
     a = model.automaton()
@@ -20,7 +21,7 @@ def test_stages(spark, data):
         _, w = toxicity.weigh(toxicity.fold(r.text), a)
         if 1 / (1 + 2.718281828459045 ** -(model.slope * w + model.intercept)) < 0.3:
             rows.append((r.doc_id, r.text))
-    assert 150 < len(rows) < 200
+    assert 850 < len(rows) < 1000
     classes = test_near.brute(rows)
     rows = [(i, t) for i, t in rows if classes[i][0] == i]
     later = test_passages.brute(rows)
