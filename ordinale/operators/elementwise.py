@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import KindError
 from ..functions import exact
 from ..kinds import NUMERIC, Kind, wrap
-from .values import Atom, Frame, Value, Vec, aligned
+from .values import POS, Atom, Dict, Lambda, List, Table, Value, Vec, aligned
 
 
 def _null(v: object) -> bool:
@@ -157,8 +157,6 @@ def square_root(x: Value) -> Value:
 
 def match(x: Value, y: Value) -> Atom:
     """Whether both have one kind, one length and equal elements; floats are compared by their bits, composites in depth."""
-    from .values import Dict, Lambda, List, Table
-
     if type(x) is not type(y):
         return Atom(Kind.BOOL, False)
     if isinstance(x, Atom):
@@ -173,10 +171,10 @@ def match(x: Value, y: Value) -> Atom:
             return Atom(Kind.BOOL, False)
         if x.frame is y.frame:
             return Atom(Kind.BOOL, lazy=x.frame.df.agg(F.coalesce(F.every(_same(x.kind)(x.column, y.column)), F.lit(True))).scalar())
-        one = x.frame.df.select("pos", F.struct(x.column.alias("v")).alias("_x"))
-        two = y.frame.df.select("pos", F.struct(y.column.alias("v")).alias("_y"))
+        one = x.frame.df.select(POS, F.struct(x.column.alias("v")).alias("_x"))
+        two = y.frame.df.select(POS, F.struct(y.column.alias("v")).alias("_y"))
         equal = F.col("_x").isNotNull() & F.col("_y").isNotNull() & _same(x.kind)(F.col("_x.v"), F.col("_y.v"))
-        return Atom(Kind.BOOL, lazy=one.join(two, "pos", "full_outer").agg(F.coalesce(F.every(equal), F.lit(True))).scalar())
+        return Atom(Kind.BOOL, lazy=one.join(two, POS, "full_outer").agg(F.coalesce(F.every(equal), F.lit(True))).scalar())
     if isinstance(x, List):
         return _all([match(a, b) for a, b in zip(x.items, y.items, strict=True)]) if len(x) == len(y) else Atom(Kind.BOOL, False)
     if isinstance(x, Dict):
@@ -203,9 +201,7 @@ def _all(parts: list[Atom]) -> Atom:
 
 def choose(condition: Vec, then: Value, other: Value) -> Vec:
     """A conditional for each element of a boolean or numeric vector; null and NaN count as true, as they are not zero."""
-    from .values import Frame as _Frame
-
-    frame: _Frame = condition.frame
+    frame = condition.frame
     true = ~invert(condition).column if condition.kind is not Kind.BOOL else condition.column
     columns = []
     kinds = {then.kind, other.kind}
@@ -220,4 +216,4 @@ def choose(condition: Vec, then: Value, other: Value) -> Vec:
     return Vec(kind, frame, F.when(true, columns[0]).otherwise(columns[1]))
 
 
-__all__ = ["BROADCAST_ONE", "FORMS", "Frame", "choose", "dyad", "floor", "invert", "match", "negate", "square_root"]
+__all__ = ["BROADCAST_ONE", "FORMS", "choose", "dyad", "floor", "invert", "match", "negate", "square_root"]

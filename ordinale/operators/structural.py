@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import KindError, ShapeError
 from ..kinds import NULLABLE, NUMERIC, Kind, letter
 from .positions import numbered, renumbered
-from .values import POS, Atom, Dict, Frame, Lambda, List, Table, Value, Vec, fresh, gathered, vector
+from .values import POS, Atom, Dict, Frame, Lambda, List, Table, Value, Vec, aligned, fresh, gathered, vector
 
 COMPOSITE = (List, Dict, Table, Lambda)
 
@@ -223,8 +223,6 @@ def make_dict(keys: Value, values: Value) -> Dict | Table:
     if isinstance(keys, Vec) and isinstance(values, Vec):
         if keys.frame is values.frame:
             return Dict(keys, values)
-        from .values import aligned
-
         frame, a, b = aligned(keys, values)
         return Dict(Vec(keys.kind, frame, a), Vec(values.kind, frame, b))
     if isinstance(keys, Vec) and keys.kind is Kind.SYM and isinstance(values, List):
