@@ -20,14 +20,19 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     burden) and an equality join that Spark may split when one key is hot. Each round is
     cut by a checkpoint.
     """
+
+    def spread(least: DataFrame) -> DataFrame:
+        """Dealt anew, so that the join with it is one that Spark may split where a node is hot."""
+        return least.repartition(F.xxhash64("u", "m"))
+
     edges = cut(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     held = _sum(edges)
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where(F.col("v") > F.col("u")).join(spread(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(spread(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = cut(small)
         now = _sum(edges)
         if now == held:
