@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import masked, unmasked
+from .storage import cut as cut_
 from .words import grams, spans, steps, words
 
 #: Words of the shortest passage; the others follow.
@@ -118,7 +119,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     order = ("suffix", "_hash", "_row")  # with the row, so that no suffix is too common to be split
     seeds = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("suffix", "_hash").mapInArrow(neighbours, "suffix long, _hash long")
     seeds = seeds.groupBy("_hash").agg(F.collect_set("suffix").alias("seeds"))
-    texts = source.groupBy("_hash").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+    texts = cut_(source.groupBy("_hash").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last")))  # apart, so that joins of a text with very many copies can be split
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
