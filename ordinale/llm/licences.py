@@ -39,12 +39,13 @@ class Template(NamedTuple):
 
 #: The phrases that count word for word, and their labels.
 PHRASES = (Template("mit", "under the mit license", 1.0, True), Template("apache-2", "apache license version 2", 1.0, True), Template("cc-by-nc", "cc by nc", 1.0, True))
-#: Openings of well-known licence texts, found at a containment of 0.8.
+#: Openings of well-known licence texts, found at a containment of 0.8, and short notices, all of whose tokens are needed.
 TEXTS = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at www apache org"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    Template("gpl", "gnu general public license", 1.0),
     Template("cc-by-sa", "creative commons attribution sharealike license"),
     Template("all-rights-reserved", "all rights reserved", 1.0),
 )

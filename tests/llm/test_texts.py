@@ -137,6 +137,16 @@ def test_licences_planted(spark, tmp_path, documents, prose, odd):
     assert licences.scan(documents([])).count() == 0
 
 
+def labels_of(frame):
+    return {r.doc_id: {m.label for m in r.matches} for r in frame.collect()}
+
+
+def test_licence_notices_of_the_gpl(spark, documents, prose):
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    got = labels_of(licences.scan(documents([(1, notice), (2, prose(1, 300) + " " + notice + " " + prose(2, 300)), (3, "A general public notice on GNU and a licence"), (4, licences.TEXTS[3].text)])))
+    assert got == {1: {"gpl"}, 2: {"gpl"}, 3: set(), 4: {"gpl"}}
+
+
 # toxicity
 
 
