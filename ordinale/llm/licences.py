@@ -46,7 +46,8 @@ TEXTS = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     Template("gpl", "gnu general public license", 1.0),
-    Template("cc-by-sa", "creative commons attribution sharealike license"),
+    Template("cc-by-sa", "creative commons attribution sharealike", 1.0),
+    Template("cc-by-sa", "creative commons attribution share alike", 1.0),
     Template("all-rights-reserved", "all rights reserved", 1.0),
 )
 

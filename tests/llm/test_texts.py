@@ -147,6 +147,12 @@ def test_licence_notices_of_the_gpl(spark, documents, prose):
     assert got == {1: {"gpl"}, 2: {"gpl"}, 3: set(), 4: {"gpl"}}
 
 
+def test_licence_notices_of_creative_commons(spark, documents):
+    kinds = {"Attribution": set(), "Attribution-NonCommercial": set(), "Attribution-NoDerivatives": set(), "Attribution-ShareAlike": {"cc-by-sa"}, "Attribution-Share Alike": {"cc-by-sa"}}
+    rows = [(f"Creative Commons {kind} 4.0 International{end}", want) for kind, want in kinds.items() for end in (" License", "")]
+    assert labels_of(licences.scan(documents([(i, t) for i, (t, _) in enumerate(rows)]))) == {i: want for i, (_, want) in enumerate(rows)}
+
+
 # toxicity
 
 
