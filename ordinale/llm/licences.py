@@ -1,14 +1,15 @@
 """Licence scans: an exact set-similarity join of text blocks with templates.
 
-A text block is a window of BLOCK consecutive words; windows overlap so that any stretch
-as long as the longest template lies within one. A template is a set of tokens and a
-threshold t: a block matches when it holds the share t of the template's tokens. Tokens
+A text block is any window of BLOCK consecutive words. A template is a set of tokens and
+a threshold t: a block matches when it holds the share t of the template's tokens. Tokens
 are ordered globally by how often the corpus has them, rarest first, and three filters
 leave few pairs to verify, without losing any: a matching block has one of the template's
 first n - ceil(t n) + 1 tokens (prefix), has ceil(t n) distinct words (length), and from
 the first shared token on enough template tokens must still follow in the template and in
-the block (position). Templates marked as phrases must also stand word for word, which
-is checked on the blocks that the join returns.
+the block (position). The filters are applied to the stretches that all blocks around
+prefix tokens make up; there a window slides from one template token to the next, and
+its count of distinct ones is the greatest overlap of any block. Templates marked as
+phrases must also stand word for word, which is checked on the stretches that match.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def frequencies(df: DataFrame, text: str, templates: tuple[Template, ...]) -> di
 
 
 class Join:
-    """The index of template prefixes, and the join of one text's blocks with it."""
+    """The index of template prefixes, and the join of one text's windows with it."""
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[int, int]):
         self.templates, self.sequences, self.order, self.needed = templates, [], [], []
@@ -94,52 +95,68 @@ class Join:
         self.index = index
         self.prefix = np.array(sorted(index), np.uint64)
         self.vocabulary = np.array(sorted(self.rank), np.uint64)
-        self.stride = BLOCK - max(map(len, self.sequences)) + 1
-
-    def starts(self, n: int) -> range:
-        return range(0, max(1, n - BLOCK + self.stride), self.stride)
-
-    def blocks(self, code: np.ndarray, rare: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(first word of the block, template, containment) of every match; rare: where prefix tokens stand."""
-        last = len(self.starts(len(code))) - 1
-        touched = sorted({b for p in rare.tolist() for b in range(max(0, -(-(p - BLOCK + 1) // self.stride)), min(last, p // self.stride) + 1)})
-        for b in touched:
-            block = code[b * self.stride : b * self.stride + BLOCK]
-            own = set(block.tolist())
-            shared = sorted((c for c in own if c in self.rank), key=self.rank.__getitem__)
-            seen: set[int] = set()
-            for at, c in enumerate(shared):
-                for i, place in self.index.get(c, ()):
-                    if i in seen:
-                        continue
-                    seen.add(i)  # c is the first shared token of the order, so positions bound the overlap
-                    if len(own) < self.needed[i] or min(len(self.order[i]) - place, len(shared) - at) < self.needed[i]:
-                        continue
-                    overlap = sum(x in own for x in self.order[i])
-                    if overlap >= self.needed[i]:
-                        yield b * self.stride, i, overlap / len(self.order[i])
+
+    def regions(self, n: int, rare: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Stretches of a text of n words that hold all windows with a word of rare, each window whole in one of them."""
+        if len(rare):
+            gap = np.flatnonzero(np.diff(rare) >= 2 * BLOCK - 1)
+            for first, last in zip(rare[np.append(0, gap + 1)].tolist(), rare[np.append(gap, -1)].tolist(), strict=True):
+                yield max(0, first - BLOCK + 1), min(n, last + BLOCK)
+
+    def candidates(self, own: np.ndarray, shared: list[int]) -> Iterator[int]:
+        """Templates that some window of a stretch may match, by its words and its template tokens in the order."""
+        n, seen = len(np.unique(own)), set()
+        for at, c in enumerate(shared):
+            for i, place in self.index.get(c, ()):
+                if i in seen:
+                    continue
+                seen.add(i)  # c is the first shared token of the order, so positions bound the overlap
+                if n >= self.needed[i] and min(len(self.order[i]) - place, len(shared) - at) >= self.needed[i]:
+                    yield i
+
+    def most(self, i: int, places: list[int], tokens: list[int]) -> int:
+        """The most tokens of template i in any window of BLOCK words, by the places of template tokens."""
+        wanted, inside = set(self.order[i]), {}
+        held = [(p, c) for p, c in zip(places, tokens, strict=True) if c in wanted]
+        left = best = 0
+        for p, c in held:
+            inside[c] = inside.get(c, 0) + 1
+            while held[left][0] <= p - BLOCK:
+                gone = held[left][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                left += 1
+            best = max(best, len(inside))
+        return best
 
     def scan(self, code: np.ndarray, rare: np.ndarray) -> tuple[dict[int, float], dict[int, list[int]]]:
-        """Best containment by template, and the first words of phrase places by template."""
+        """Best containment by template, and the first words of phrase places by template; rare: where prefix tokens stand."""
         best: dict[int, float] = {}
-        places: dict[int, set[int]] = {}
-        for start, i, share in self.blocks(code, rare):
-            if self.templates[i].phrase:
-                own = self.sequences[i]
-                block = code[start : start + BLOCK]
-                at = np.flatnonzero(block[: len(block) - len(own) + 1] == own[0]) if len(block) >= len(own) else []
-                found = [start + int(p) for p in at if (block[p : p + len(own)] == own).all()]
-                if not found:
+        places: dict[int, list[int]] = {}
+        for start, end in self.regions(len(code), rare):
+            own = code[start:end]
+            near = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+            at = np.flatnonzero(self.vocabulary[near] == own)
+            at, tokens = at.tolist(), own[at].tolist()
+            for i in self.candidates(own, sorted(set(tokens), key=self.rank.__getitem__)):
+                overlap = self.most(i, at, tokens)
+                if overlap < self.needed[i]:
                     continue
-                places.setdefault(i, set()).update(found)
-            best[i] = max(best.get(i, 0.0), share)
-        return best, {i: sorted(p) for i, p in places.items()}
+                if self.templates[i].phrase:
+                    word = self.sequences[i]
+                    found = [start + int(p) for p in np.flatnonzero(own[: max(0, len(own) - len(word) + 1)] == word[0]) if (own[p : p + len(word)] == word).all()]
+                    if not found:
+                        continue
+                    places.setdefault(i, []).extend(found)
+                best[i] = max(best.get(i, 0.0), overlap / len(self.order[i]))
+        return best, {i: sorted(set(p)) for i, p in places.items()}
 
 
 def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = PHRASES + TEXTS) -> DataFrame:
     """`df` with ``n_words`` and ``matches``, an array of (template, label, phrase, score, places).
 
-    Each template that some block of the text matches is there once, with its best
+    Each template that some window of the text matches is there once, with its best
     containment; ``places`` has the first words of a phrase's occurrences, and a phrase
     without any is no match. A null or empty text has no words and no matches. Columns
     of these two names are replaced, others are carried along.

@@ -153,6 +153,26 @@ def test_licence_notices_of_creative_commons(spark, documents):
     assert labels_of(licences.scan(documents([(i, t) for i, (t, _) in enumerate(rows)]))) == {i: want for i, (_, want) in enumerate(rows)}
 
 
+def test_licences_in_every_window(spark, documents, prose):
+    """All windows, one word apart, of texts with templates spread over them at every offset of 73 words."""
+    rows = []
+    for k, t in enumerate(licences.TEXTS[:4]):
+        spread = [" ".join(f"{x} {prose(n, 1)}" for n, x in enumerate(t.text.split())), " ".join(x + f" {prose(n, 4)}" * (n % 2) for n, x in enumerate(t.text.split()))]
+        rows += [(f"{k} {i} {at}", prose(at, at) + f" {s} " + prose(at + 1, 100)) for i, s in enumerate(spread) for at in range(73)]
+    rows += [("twice", prose(1, 60) + " " + licences.TEXTS[0].text + " " + prose(2, 80) + " " + licences.TEXTS[0].text), ("halves", " ".join(licences.TEXTS[2].text.split()[:10]) + " " + prose(3, 90) + " " + " ".join(licences.TEXTS[2].text.split()[10:]))]
+    got = {i: {m.template: m.score for m in r.matches if not m.phrase} for (i, _), r in zip(rows, licences.scan(documents([(i, t) for i, (_, t) in enumerate(rows)])).orderBy("doc_id").collect(), strict=True)}
+    want = {}
+    for i, t in rows:
+        w, best = plain_words(t), {}
+        for k, x in enumerate(licences.TEXTS):
+            own = set(x.text.split())
+            share = max(len(own & set(w[at : at + licences.BLOCK])) / len(own) for at in range(max(1, len(w) - licences.BLOCK + 1)))
+            if share >= x.threshold:
+                best[k + len(licences.PHRASES)] = share
+        want[i] = best
+    assert got == want and all(want[i] for i in want if i != "halves")
+
+
 # toxicity
 
 
