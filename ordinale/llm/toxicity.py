@@ -38,6 +38,8 @@ LONGEST_PREFIX = 10
 UNKNOWN = -4.0
 #: Evidence that a term needs (counts times Kullback-Leibler divergence from the toxic share): chance alone reaches it once in some thousand terms.
 EVIDENCE = 8.0
+#: Toxic documents that a term needs, whatever the size of the sample.
+LEAST = 3
 
 _FOREIGN = re.compile("[" + "".join(HOMOGLYPHS) + "А-Яа-яΑ-Ωα-ω]")
 _LOOK = str.maketrans(HOMOGLYPHS)
@@ -115,13 +117,37 @@ def _scan(df: DataFrame, text: str, model: Model) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def _evidence(toxic: int, clean: int, share: float) -> float:
+    """The evidence that EVIDENCE is about, of a term in so many documents where `share` of all are toxic."""
+    n = toxic + clean
+    return sum(k * math.log(k / n / p) for k, p in ((toxic, share), (clean, 1 - share)) if k)
+
+
+def _families(found: dict) -> dict[str, float]:
+    """Weights of the terms that stand for their families of beginnings."""
+    lexicon: dict[str, float] = {}
+    for t in sorted(found, key=lambda t: (len(t), t)):
+        if any(t[:n] in found for n in range(4, len(t))):
+            continue  # a shorter beginning stands for its family
+        best = t
+        for longer in sorted((x for x in found if x.startswith(t)), key=len):
+            if found[longer].toxic >= 0.95 * found[t].toxic:
+                best = longer
+        lexicon[best] = found[best].odds
+    return lexicon
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", rows: int | None = None, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Fit the lexicon and the score on at most `rows` labelled documents (fitting.SAMPLE_ROWS by default).
 
-    A term is listed if a hundredth of the toxic sample has it, its odds there are twenty
-    times those in the rest, and chance would hardly bring that about. Of the beginnings of one word the longest that loses
-    no more than a twentieth of the documents stays. Unless the sample holds both labels
-    there is nothing to learn: the lexicon is empty and every score is low.
+    A term is listed if LEAST toxic documents have it, its odds there are twenty times those
+    in the rest, and chance would hardly bring that about. A large sample tests very many
+    terms, and copies of its toxic documents share many words, so a term that less than a
+    hundredth of them have must also be what is toxic there: it is judged by the toxic
+    documents without any commoner term, and chance must let one of all tested terms through
+    at most. Of the beginnings of one word the longest that loses no more than a twentieth
+    of the documents stays. Unless the sample holds both labels there is nothing to learn:
+    the lexicon is empty and every score is low.
     """
     sample = labelled(labels, label, key, **({} if rows is None else {"rows": rows}))
     if not sample:
@@ -150,23 +176,33 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
     counts = chosen.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = sum(sample.values()), len(sample) - sum(sample.values())
-    floor = max(3, totals[0] // 100)
     odds = F.log((F.col("toxic") + 0.5) / (totals[0] + 1)) - F.log((F.col("clean") + 0.5) / (totals[1] + 1))
     share = totals[0] / (totals[0] + totals[1])
     n, q = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     evidence = n * (q * F.log(q / max(share, 1e-9)) + F.when(q < 1, (1 - q) * F.log((1 - q) / max(1 - share, 1e-9))).otherwise(0.0))
-    found = counts.where((F.col("term") != "") & (F.col("toxic") >= floor)).select("term", "toxic", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") >= math.log(20)) & (F.col("evidence") >= EVIDENCE)).orderBy(F.desc("odds"), "term").limit(MOST_TERMS).select("term", "toxic", "odds").collect()
-    shares = {t: n for t, n, _ in found}
-    weights = {t: w for t, _, w in found}
-    lexicon: dict[str, float] = {}
-    for t in sorted(shares, key=lambda t: (len(t), t)):
-        if any(t[:n] in shares for n in range(4, len(t))):
-            continue  # a shorter beginning stands for its family
-        best = t
-        for longer in sorted((x for x in shares if x.startswith(t)), key=len):
-            if shares[longer] >= 0.95 * shares[t]:
-                best = longer
-        lexicon[best] = weights[best]
+    tested = counts.where((F.col("term") != "") & (n >= LEAST)).select("term", "toxic", "clean", odds.alias("odds"), evidence.alias("evidence"))
+    passed = (F.col("toxic") >= LEAST) & (F.col("odds") >= math.log(20)) & (F.col("evidence") >= EVIDENCE)
+    # the terms that fail are one row without a term, which tells how many they are
+    rows = tested.groupBy(F.when(passed, F.col("term")).alias("term")).agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"), F.max("odds").alias("odds"), F.max("evidence").alias("evidence"), F.count("*").alias("n")).orderBy(F.isnotnull("term"), F.desc("evidence"), "term").limit(MOST_TERMS + 1).collect()
+    chance = math.log(max(1, sum(r.n for r in rows)))
+    found = {r.term: r for r in [r for r in rows if r.term is not None][:MOST_TERMS]}
+    listed = {t for t, r in found.items() if r.toxic >= totals[0] // 100}
+    rare = set(found) - listed
+    if rare:
+        bare = _scan(chosen.where("_label = 1"), "_text", Model(_families({t: found[t] for t in listed}), exceptions, 1.0, 0.0)).where("n_terms = 0").select("_text")
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    seen.update(terms(fold(t)) & rare)
+                    seen[""] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+        alone = {r.term: r[1] for r in bare.mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a row a rare term at most
+        left = alone.pop("", 0)
+        listed |= {t for t, k in alone.items() if k >= LEAST and _evidence(k, found[t].clean, left / (left + totals[1])) >= chance}
+    lexicon = _families({t: found[t] for t in listed})
     covered = Model(lexicon, exceptions, 1.0, 0.0)
     rows = _scan(chosen, "_text", covered).select("weight", "_label").collect()  # at most the sample
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)

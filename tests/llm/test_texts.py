@@ -216,6 +216,17 @@ def test_toxicity_ignores_held_out_labels(spark, documents, prose):
     assert len(fitting.labelled(y, "toxic", rows=50)) == 50
 
 
+def test_toxicity_rare_terms_of_a_large_sample(spark, documents, prose):
+    """A term of fewer than a hundredth of the toxic documents is learned if chance can't explain it."""
+    ids = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 4 != 2][:9000]
+    toxic = ids[::15]
+    extra = dict.fromkeys(toxic, " vilething") | dict.fromkeys(toxic[100:105], " rarething") | dict.fromkeys(toxic[200:203], " vilething byaccident")
+    docs = documents([(i, prose(i, 8) + extra.get(i, "")) for i in ids])
+    model = toxicity.learn(docs, spark.createDataFrame([(i, 0, int(i in extra)) for i in ids], "doc_id long, quality int, toxic int"))
+    assert len(toxic) // 100 > 5 and set(model.lexicon) == {" vilething ", " rarething "}
+    assert {r.doc_id for r in toxicity.score(docs, model).where("toxicity >= 0.3").collect()} == set(toxic)
+
+
 def test_toxicity_odd(spark, documents, odd, clashing):
     df, names = clashing(documents(odd))
     model = toxicity.learn(df, spark.createDataFrame([(1, 0, 1), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int"))
