@@ -31,7 +31,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    found = contamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     return found.where(~contamination.contaminated()).select(*docs.columns)
 
 

@@ -30,16 +30,16 @@ def windows(text: str | None, size: int = WINDOW) -> set[str]:
     return {" " + " ".join(w[i : i + size]) + " " for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def patterns(benchmark: DataFrame, item: str, text: str, size: int) -> list[dict[str, list[str]]]:
-    """Windows and the items they come from, in parts of at most AUTOMATON_CHARS."""
-    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("string"))
+def patterns(benchmark: DataFrame, item: str, text: str, size: int, unnamed: bool = False) -> list[dict[str, list[str]]]:
+    """Windows and the ids of the items they come from, in parts of at most AUTOMATON_CHARS; items without an id only if `unnamed`."""
+    rows = benchmark.where(F.lit(unnamed) | F.col(item).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("string"))
     held = rows.agg(F.sum(F.octet_length(rows[1]))).first()[0] or 0
     if held > BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {held} bytes of text; at most {BENCHMARK_BYTES} can be sent to executors")
     found: dict[str, set[str]] = {}
     for name, t in rows.collect():
         for w in windows(t, size):
-            found.setdefault(w, set()).add(name)
+            found.setdefault(w, set()).update(() if name is None else (name,))
     parts, room = [{}], AUTOMATON_CHARS
     for w in sorted(found):
         if len(w) > room and parts[-1]:
@@ -50,19 +50,20 @@ def patterns(benchmark: DataFrame, item: str, text: str, size: int) -> list[dict
     return parts
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """`docs` with ``n_words``, ``n_hit`` (words inside an occurrence of a window),
     ``items`` (ids, as sorted strings, of items with an occurring window) and ``spans``
     (start and end characters of the hit stretches in the original text).
 
-    A null text has no words. Items with a null id or without words are left out; items
-    that share an id count as one. An empty benchmark hits nothing. Columns of the names
-    above are replaced, others are carried along.
+    A null text has no words. Items without words are left out; items that share an id
+    count as one. With `unnamed`, items with a null id hit like others and only ``items``
+    can't name them; otherwise they are left out. An empty benchmark hits nothing. Columns
+    of the names above are replaced, others are carried along.
     """
     made = (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.ArrayType(T.LongType()))))
     kept = docs.select(*(c for c in docs.columns if c not in dict(made)))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in made)])
-    shared = docs.sparkSession.sparkContext.broadcast(patterns(benchmark, item, item_text, size))
+    shared = docs.sparkSession.sparkContext.broadcast(patterns(benchmark, item, item_text, size, unnamed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick

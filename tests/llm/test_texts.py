@@ -95,6 +95,16 @@ def test_decontamination_windows_and_spans(spark, documents, prose, monkeypatch)
     assert none.agg(F.sum("n_hit")).first()[0] == 0 and contamination.find(documents([]), bench).count() == 0
 
 
+def test_decontamination_by_items_without_an_id(spark, tmp_path, documents, prose):
+    import corpus_pipeline
+
+    documents([(1, prose(5, 30)), (2, prose(6, 30)), (3, prose(7, 30))]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, prose(5, 30)), (None, prose(6, 30)), (9, prose(6, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in queries.op8_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (30, 0, True), 2: (30, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in corpus_pipeline.without_benchmark(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()] == [3]
+
+
 # licences
 
 
