@@ -6,8 +6,9 @@ it; every tier is packed from its own remainders, longest tier first, and the ga
 remainder leaves in its window is filled from the shorter tiers, the last filler being
 cut to fit. Windows whose material has run out are carried on; at the end of a task the
 carried pieces are joined and cut into windows that are powers of two. Each window is
-therefore full, whatever its tier, and step groups of equal token counts are dealt out
-from each tier in turn.
+therefore full, whatever its tier. Step groups have equal token counts: each takes windows
+of one size until it is full, and the windows that are left in a task's open groups share
+groups at its end, so that only a task's last one is partial.
 
 The job is one scan without a shuffle: a task packs what it reads, in blocks of a bounded
 number of tokens, and a lost task is repeated with the same result.
@@ -109,7 +110,9 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
     ``token_ids`` (little-endian unsigned 32-bit), ``doc_tokens`` (ids of the whole
     document with the closing id), ``sequence_id``, ``offset`` in the sequence,
     ``window`` (the sequence's length, a power of two up to the longest tier) and
-    ``step_group`` (sequences of one tier that hold ``step_tokens`` ids together).
+    ``step_group`` (sequences that hold ``step_tokens`` ids together, of one length but for
+    those a task is left with; its last group may hold fewer). A task keeps up to
+    ``step_tokens`` ids of each length until their group is full.
 
     A null or empty text is the closing id alone. Rows with a null or repeated key are
     packed like others, each by itself. Columns other than the key and the text are not
@@ -124,7 +127,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
         encode, packer = BatchEncoder(tokenizer_path), Packer(tiers)
         base = TaskContext.get().partitionId() << 33
         made, out, held = 0, [], 0
-        group_of: dict[int, tuple[int, int]] = {}
+        open_: dict[int, list[list[tuple]]] = {}
         groups = 0
         key_type = None
 
@@ -134,22 +137,40 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
             out, held = [], 0
             return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, pa.binary() if i == 2 else pa.int64()) for i, c in enumerate(columns[1:]))], schema.fieldNames())
 
+        def close(group: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+            nonlocal groups, held
+            for rows in group:
+                out.extend((*row, base + groups) for row in rows)
+                held += rows[0][-1]
+            groups += 1
+            if held >= BLOCK_TOKENS:
+                yield flush()
+
         def emit(windows: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-            nonlocal made, groups, held
+            nonlocal made
             for window in windows:
                 size = sum(len(p[2]) for p in window)
-                group, tokens = group_of.get(size, (None, 0))
-                if group is None or tokens + size > step_tokens:
-                    group, tokens, groups = groups, 0, groups + 1
-                group_of[size] = (group, tokens + size)
-                at = 0
+                rows, at = [], 0
                 for (key_, n), start, ids in window:
-                    out.append((key_, start, len(ids), ids.astype("<u4").tobytes(), n, base + made, at, size, base + group))
+                    rows.append((key_, start, len(ids), ids.astype("<u4").tobytes(), n, base + made, at, size))
                     at += len(ids)
                 made += 1
-                held += size
-                if held >= BLOCK_TOKENS:
-                    yield flush()
+                open_.setdefault(size, []).append(rows)
+                if (len(open_[size]) + 1) * size > step_tokens:
+                    yield from close(open_.pop(size))
+
+        def shared() -> Iterator[pa.RecordBatch]:
+            """Groups of what is left, longest windows first: as sizes are powers of two, all are full but the last."""
+            bins: list[list] = []
+            for size in sorted(open_, reverse=True):
+                for rows in open_.pop(size):
+                    into = next((b for b in bins if b[0] + size <= step_tokens), None)
+                    if into is None:
+                        bins.append(into := [0, []])
+                    into[0] += size
+                    into[1].append(rows)
+            for _, group in bins:
+                yield from close(group)
 
         for batch in batches:
             key_type = batch.schema.field(0).type
@@ -162,6 +183,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
                         yield from emit(packer.block())
         if key_type is not None:
             yield from emit(packer.rest())
+            yield from shared()
             if out:
                 yield flush()
 

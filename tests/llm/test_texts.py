@@ -344,6 +344,19 @@ def test_packing_small_blocks(spark, documents, prose, monkeypatch):
     assert packing.pack(documents([]), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_step_groups_are_full(spark, documents, prose):
+    """All step groups hold the same number of ids, but for the last one of each task."""
+    texts = {i: prose(i, 1 + (i * 97) % 900) for i in range(400)}
+    rows = packing.pack(documents(list(texts.items())).repartition(3), queries.tokenizer_path()).withColumn("ids_crc32", F.crc32("token_ids")).collect()
+    sequences = packed_checks(rows, texts, BatchEncoder(queries.tokenizer_path()).tokenizer)
+    groups = defaultdict(list)
+    for pieces in sequences.values():
+        groups[pieces[0].step_group].append(pieces[0].window)
+    partial = [g >> 33 for g, sizes in groups.items() if sum(sizes) != 16_384]
+    assert len(groups) > 6 and len(partial) == len(set(partial)) and all(sum(sizes) <= 16_384 for sizes in groups.values())
+    assert any(len(set(sizes)) == 1 for sizes in groups.values())
+
+
 def test_packing_repeated_and_null_keys(spark, documents, odd):
     rows = packing.pack(documents(odd), queries.tokenizer_path()).collect()
     assert sum(r.start == 0 for r in rows) == len(odd)
