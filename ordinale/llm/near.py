@@ -1,10 +1,11 @@
-"""Near-duplicate join on word shingles: MinHash LSH forest, then exact verification.
+"""Near-duplicate join on word shingles: banded MinHash LSH, then exact verification.
 
 Each text's set of five-word shingles gets TREES * DEPTH minimum hashes, DEPTH of them
 for each tree. A tree is a prefix trie of its labels; texts that share a label's first d
-values stand under one node of depth d. Matching begins with whole labels and shortens
-the prefix level by level until texts at the threshold are found with the target recall,
-1 - (1 - t^d)^TREES; all texts under a node of that depth are candidates. A node is
+values stand under one node of depth d. The tries are not built or searched level by
+level: d is fixed beforehand as the longest prefix that finds texts at the threshold with
+the target recall, 1 - (1 - t^d)^TREES, since a depth found by search would end there
+too. Only these d values are computed; texts with equal ones in a tree are candidates. A node is
 compared by its least text, so a node of m texts gives m - 1 links and not m^2.
 
 Candidate groups (components of those links) are then verified exactly on their shingle
