@@ -5,9 +5,9 @@ consecutive ones, which depends on nothing but the words there, so two copies of
 passage retain the same places. With SPARSE + HEAD - 1 = LENGTH, every passage of LENGTH
 words retains a suffix that has HEAD more of its words to its right. Suffixes are ordered
 by the code of those words; neighbours with equal codes that come from different texts
-are the seeds. Around the seeds, matches are extended to the left and the right: each
-stretch of LENGTH words that selects the seed is compared with its equals in the other
-texts. The result is exact: a word is repeated if some stretch of LENGTH words around it
+are the seeds. Pairs of neighbours are not extended word by word: each stretch of LENGTH
+words that selects a seed is hashed, and grouping by the hash finds its equals in the
+other texts. The result is exact: a word is repeated if some stretch of LENGTH words around it
 stands in another document too.
 """
 
