@@ -103,7 +103,7 @@ def dyad(verb: str, x: Value, y: Value) -> Value:
             if _one(x):
                 return Vec(form.kind, y.frame, form.column(cast(_scalar(x)), cast(y.column)))
             return Vec(form.kind, x.frame, form.column(cast(x.column), cast(_scalar(y))))
-        frame, a, b = aligned(x, y)
+        frame, a, b = aligned(x, y, one=verb in BROADCAST_ONE)
         return Vec(form.kind, frame, form.column(cast(a), cast(b)))
     frame = x.frame if isinstance(x, Vec) else y.frame
     a, b = (v.column if isinstance(v, Vec) else v.column() for v in (x, y))

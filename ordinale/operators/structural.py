@@ -254,14 +254,25 @@ def lookup(spark: SparkSession, d: Dict, key: Value) -> Value:
 
 
 def lookup_all(d: Dict, keys: Vec) -> Vec:
-    """The lookup for each element of a vector: an equality join with the first entry of each key."""
+    """The lookup for each element of a vector, misses alike: an equality join with the first entry of each key."""
     if keys.kind is not d.keys.kind:
         raise KindError("keys of another kind")
     k, v, own = fresh("k"), fresh(), fresh("k")
-    firsts = d.keys.frame.df.groupBy(d.keys.column.alias(k)).agg(F.min_by(d.values.column, F.col(POS)).alias(v))
-    rows = keys.frame.df.select(F.col(POS).cast("bigint").alias(POS), keys.column.alias(own))
-    joined = rows.join(firsts, F.col(own).eqNullSafe(F.col(k)), "left").select(POS, v)
-    return Vec(d.values.kind, Frame(joined, keys.frame.length), F.col(v))
+
+    def same(c):  # floats by their bits, as for one key
+        return c.cast("string") if keys.kind is Kind.F64 else c
+
+    firsts = d.keys.frame.df.groupBy(same(d.keys.column).alias(k)).agg(F.min_by(d.values.column, F.col(POS)).alias(v))
+    rows = keys.frame.df.select(F.col(POS).cast("bigint").alias(POS), same(keys.column).alias(own))
+    joined = rows.join(firsts, F.col(own).eqNullSafe(F.col(k)), "left")
+    found = F.col(v)
+    if d.values.kind is Kind.F64:
+        found = F.coalesce(found, F.lit(math.nan))
+    elif d.values.kind is Kind.SYM:
+        found = F.coalesce(found, F.lit(""))
+    elif d.values.kind is not Kind.I64:
+        found = F.coalesce(found, F.raise_error(F.lit("shape: no such key")))
+    return Vec(d.values.kind, Frame(joined.select(POS, found.alias(v)), keys.frame.length), F.col(v))
 
 
 def flip(spark: SparkSession, d: Dict) -> Table:

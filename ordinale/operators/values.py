@@ -185,18 +185,38 @@ def check(df: DataFrame, ok: Column, message: str) -> DataFrame:
     return df.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
-def aligned(x: Vec, y: Vec) -> tuple[Frame, Column, Column]:
-    """Both vectors over one frame. Lengths that are known must agree now; others fail the query that runs into it."""
+def aligned(x: Vec, y: Vec, one: bool = False) -> tuple[Frame, Column, Column]:
+    """Both vectors over one frame. Lengths that are known must agree now; others fail the query that runs into it.
+
+    With `one`, a vector that turns out to have a single element stands for as many as the other has.
+    """
     if x.frame is y.frame:
         return x.frame, x.column, y.column
     a, b, left, right = fresh(), fresh(), fresh("l"), fresh("r")
-    if x.frame.length is not None and y.frame.length is not None:
-        if x.frame.length != y.frame.length:
-            raise ShapeError(f"lengths {x.frame.length} and {y.frame.length}")
+    lengths = x.frame.length, y.frame.length
+    if None not in lengths:
+        if lengths[0] != lengths[1]:
+            raise ShapeError(f"lengths {lengths[0]} and {lengths[1]}")
         df = x.frame.df.select(POS, x.column.alias(a)).join(y.frame.df.select(POS, y.column.alias(b)), POS)
-        return Frame(df, x.frame.length), F.col(a), F.col(b)
-    one = x.frame.df.select(F.col(POS), x.column.alias(a), F.lit(True).alias(left))
-    two = y.frame.df.select(F.col(POS), y.column.alias(b), F.lit(True).alias(right))
-    both = check(one.join(two, POS, "full_outer"), F.col(left).isNotNull() & F.col(right).isNotNull(), "shape: vectors of different lengths")
-    known = x.frame.length if x.frame.length is not None else y.frame.length
+        return Frame(df, lengths[0]), F.col(a), F.col(b)
+    sides = []
+    for vec, value, here, other in ((x, a, left, y), (y, b, right, x)):
+        side = vec.frame.df.select(F.col(POS).cast("bigint").alias(POS), vec.column.alias(value), F.lit(True).alias(here))
+        if one and vec.frame.length is None and other.frame.length != 1:
+            side = _spread(side, vec, other)
+        sides.append(side)
+    both = check(sides[0].join(sides[1], POS, "full_outer"), F.col(left).isNotNull() & F.col(right).isNotNull(), "shape: vectors of different lengths")
+    known = None if one else next((n for n in lengths if n is not None), None)
     return Frame(both.select(POS, a, b), known), F.col(a), F.col(b)
+
+
+def _spread(side: DataFrame, vec: Vec, other: Vec) -> DataFrame:
+    """`side`, its row copied to all positions of `other` if it is the only one.
+
+    How many rows `vec` has is a scalar subquery over its first two rows, so a long vector
+    is not counted.
+    """
+    few = vec.frame.df.limit(2).agg(F.count(F.lit(1))).scalar()
+    value = side.limit(1).select(F.struct(*(F.col(c) for c in side.columns if c != POS))).scalar()
+    copies = other.frame.df.where(few == 1).select(F.col(POS).cast("bigint").alias(POS), value.alias("_s")).select(POS, *(F.col(f"_s.{c}").alias(c) for c in side.columns if c != POS))
+    return side.where(few != 1).union(copies)

@@ -137,6 +137,7 @@ program("drop_last", "(-5) _ r", "SELECT n_nationkey::BIGINT AS pos, n_regionkey
 program("dict_build", "k ! r", "SELECT n_nationkey::BIGINT AS pos, n_nationkey::BIGINT AS key, n_regionkey::BIGINT AS val FROM nation", "nation", k="n_nationkey", r="n_regionkey")
 program("dict_keys", "! k ! r", "SELECT n_nationkey::BIGINT AS pos, n_nationkey::BIGINT AS val FROM nation", "nation", k="n_nationkey", r="n_regionkey")
 program("dict_values", ". k ! r", "SELECT n_nationkey::BIGINT AS pos, n_regionkey::BIGINT AS val FROM nation", "nation", k="n_nationkey", r="n_regionkey")
+program("dict_values_literal", ".1 2 3 ! 10 20 30", "SELECT * FROM (VALUES (0::BIGINT, 10::BIGINT), (1, 20), (2, 30)) AS t(pos, val)")
 program("index_hit", "u @ 42", "SELECT user_id AS val FROM events WHERE event_id = 42", "events", u="user_id")
 program("index_miss", "u @ -1", "SELECT NULL::BIGINT AS val", "events", u="user_id")
 program("index_chain", "u @ u @ 42", "SELECT user_id AS val FROM events WHERE event_id = (SELECT user_id FROM events WHERE event_id = 42)", "events", u="user_id")
@@ -151,6 +152,13 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.lookup_all(regions, table(spark, sf_dir, "customer").vector("c_nationkey")).to_df()
 
 
+@add("lookup_all_float_miss", "SELECT n_nationkey::BIGINT AS pos, CASE WHEN n_regionkey < 3 THEN s_acctbal ELSE 'nan'::DOUBLE END AS val FROM nation LEFT JOIN supplier ON s_suppkey = n_regionkey")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier")
+    few = Frame(suppliers.df.where(F.col(POS) < 3))
+    return structural.lookup_all(structural.make_dict(few.vector("s_suppkey"), few.vector("s_acctbal")), table(spark, sf_dir, "nation").vector("n_regionkey")).to_df()
+
+
 @add("flip_table", "SELECT r_regionkey::BIGINT AS pos, r_regionkey::BIGINT AS k, 2.5 * r_regionkey::DOUBLE AS h FROM region")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     session = Session(spark)
@@ -236,6 +244,22 @@ program("assign_sequence", "a: c + 1; b: a * a; b - a", "SELECT o_orderkey AS po
 program("lengths_differ_broadcast", "r = , 2", "SELECT n_nationkey::BIGINT AS pos, n_regionkey = 2 AS val FROM nation", "nation", r="n_regionkey")
 
 
+def _one_unknown(name: str, source: str, sql: str) -> None:
+    """A vector whose single element is known only when the query runs, beside a longer one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = Session(spark)
+        session.bind(table(spark, sf_dir, "region"), r="r_regionkey")
+        session.bind(table(spark, sf_dir, "nation"), n="n_nationkey")
+        return session.df(source)
+
+    CATALOGUE[name] = Query(run, sql)
+
+
+_one_unknown("eq_one_unknown", "n = & r = 3", "SELECT n_nationkey::BIGINT AS pos, n_nationkey = 3 AS val FROM nation")
+_one_unknown("max_one_unknown", "(& r = 3) | n", "SELECT n_nationkey::BIGINT AS pos, greatest(n_nationkey, 3)::BIGINT AS val FROM nation")
+
+
 # temporal
 @add("days_since_epoch", "SELECT o_orderkey AS pos, date_diff('day', DATE '2001-01-01', o_orderdate::DATE)::INT AS days FROM orders")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,15 +40,16 @@ VECTORS = [
     ("9223372036854775807 1 + 1", "J", [-(2**63), 2]), ("-2 _ 1 2 3", "J", [-3]), ("0 # 1 2", "J", []), ("^ 3 0N 1", "J", [None, 1, 3]), ("(0 = 1 2) , 1 = 1", "B", [False, False, True]), ("$ 4.0", "C", ["4"]), ("$ 0N", "C", ["0", "N"]), ("$ 0n", "C", ["0", "n"]),
     ("$ `ab", "C", ["a", "b"]), ("1 2 3 = ,2", "B", [False, True, False]), ("0N 1 + 0N 2", "J", [None, 3]), ("+\\1 0N 2", "J", [1, 1, 3]), ("-':1 0N 2", "J", [1, None, None]), ("? 5", "J", [5]), ("(1 = 1; 1 = 2)", "B", [True, False]),
     ("`a`b , `c", "N", ["a", "b", "c"]), ('"ab" , "c"', "C", ["a", "b", "c"]), ("| `a`b", "N", ["b", "a"]), ("& 0 2 0 3", "J", [1, 3]), ("2 # `x", "N", ["x", "x"]), ('"a\\n\\"b"', "C", ["a", "\n", '"', "b"]), ("0W 1.5", "F", [math.inf, 1.5]),
+    ("v: & 0 1 0; 1 2 3 = v", "B", [True, False, False]), ("v: & 0 1 0; v | 1 2 3", "J", [1, 2, 3]), ("v: & 0 0 1; w: & 1 1 0; v > w", "B", [True, True]), ("v: & 0 1 0; w: & 0 0 1; v < w", "B", [True]), ("v: & 0 0 1 1; 2 3 = v", "B", [True, True]),
     ("1 2 3 % 2", "F", [0.5, 1.0, 1.5]), ("5 - 1 2", "J", [4, 3]), ("f: {x + 1}; f[f[1 2]]", "J", [3, 4]), ("~ 0 0N 2", "B", [True, False, False]), ("1e3 2", "F", [1000.0, 2.0]),
 ]
 ERRORS = [
     ("{[a;b] a+b}[3]", ShapeError), ("nope", UndefinedName), ("a_b", UndefinedName), ("", EmptyProgram), ("1 2 + 1 2 3", ShapeError), ("1 2 = 1 2 3", ShapeError), ("*1 2", KindError), ("=1 2", KindError), ("<1 2", KindError), (">1 2", KindError), ("1 $ 2", KindError),
     ("1 ^ 2", KindError), ("1 ? 2", KindError), ("1 . 2", KindError), ("*/1 2", KindError), ("&\\1 2", KindError), ("*':1 2", KindError), ("+':1.0 2.0", KindError), ("1 , 2.0", KindError), ("(-1) # 1 2", KindError), ("1 # !0", ShapeError), ("1 ! 2", KindError),
     ("1 2 ! 3", KindError), ("1 2 ! 3 4 5", ShapeError), ("! -1", ShapeError), ("! 1.5", KindError), ("$ 1 2", KindError), ("$'1 2", KindError), ("!'1 2", KindError), ("& 1", KindError), ("1 2 @ 0 1", KindError), ("v: 1 2; v[0]", KindError), ('"ab" @ 5', ShapeError),
-    ("(1 2 ! 3 4) @ `a", KindError), ("`a = `a", KindError), ("(1=1) & 1=1", KindError), ("f: {x}; 2 # f", KindError), (",{x}", KindError), ("1 + (1;2.0)", KindError), ("+`a`b!(1 2;3 4 5)", ShapeError), ("f: {f[x]}; f[1]", EvalError),
+    ("(1 2 ! 3 4) @ `a", KindError), ("`a = `a", KindError), ("(1=1) & 1=1", KindError), ("f: {x}; 2 # f", KindError), (",{x}", KindError), ("1 + (1;2.0)", KindError), ("+`a`b!(1 2;3 4 5)", ShapeError), ("f: {f[x]}; f[1]", EvalError), (".5", KindError), ("1 2 3 = & 0 1 1 0", Exception), ("v: & 0 1 0; 1 2 3 + v", Exception),
 ]
-MALFORMED = ["(1", "1 )", "$[1;2]", "{x", '"abc', "f[1", "1 `a", ".5 ;", "`toolongname", "longername1: 3", "1 + ", "(a: 1)", "{a: 1}", "#", "1;;2", "~", "'", '"\\q"', "1 2 3 é", "99999999999999999999", "1e"]
+MALFORMED = ["(1", "1 )", "$[1;2]", "{x", '"abc', "f[1", "1 `a", "`toolongname", "longername1: 3", "1 + ", "(a: 1)", "{a: 1}", "#", "1;;2", "~", "'", '"\\q"', "1 2 3 é", "99999999999999999999", "1e"]
 
 
 def value(spark, source):
