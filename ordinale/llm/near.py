@@ -1,18 +1,24 @@
-"""Near-duplicate join on word shingles: banded MinHash LSH, then exact verification.
-
-Each text's set of five-word shingles gets TREES * DEPTH minimum hashes, DEPTH of them
-for each tree. A tree is a prefix trie of its labels; texts that share a label's first d
-values stand under one node of depth d. The tries are not built or searched level by
-level: d is fixed beforehand as the longest prefix that finds texts at the threshold with
-the target recall, 1 - (1 - t^d)^TREES, since a depth found by search would end there
-too. Only these d values are computed; texts with equal ones in a tree are candidates. A node is
-compared by its least text, so a node of m texts gives m - 1 links and not m^2.
-
-Candidate groups (components of those links) are then verified exactly on their shingle
-sets. A large group is split into blocks, and each pair of blocks is one bounded task
-that intersects sets by matrix products and returns, instead of pairs, one row a text:
-its number of links and the root it is linked to. Texts with equal shingle sets are one
-node throughout. Links between different texts are all counted.
+"""Near-duplicate join on word shingles: a MinHash LSH forest, then exact verification.
+
+Each text's set of five-word shingles gets TREES labels of DEPTH values, a byte each, so
+that a label is one 64-bit number and the texts of a tree, sorted by it, lie in the order
+of the tree's prefix trie. Texts in a run with equal first d bytes stand under one node of
+depth d. One sort of all (tree, label) rows gives the nodes of every depth.
+
+Matching begins with whole labels and shortens the prefix byte by byte. Candidates of the
+longest prefixes are verified first, on their exact shingle sets. A pair of similarity s is
+found at depth d with the probability p = 1 - (1 - s^d)^TREES, so each link that was found
+stands for (1 - p) / p that were not; a text's estimate of what it misses, with one more
+link at the threshold than it has, says whether it has reached the target recall. Those
+that have not are matched anew with prefixes one byte shorter, against all texts, until
+the depth at which even a text with a single link at the threshold reaches the target.
+Texts in crowded groups stop early, and lone texts go down to that depth.
+
+Verification is by blocks: the components of nodes of full depth, cut by hash to a bounded
+size. Two blocks are compared where some node has texts of both, in one bounded task that
+intersects sets by matrix products and returns, instead of pairs, one row a text: its
+number of links and the least text it is connected to. Texts with equal shingle sets are
+one node throughout, so copies cost nothing. Links between different texts are all counted.
 """
 
 from __future__ import annotations
@@ -27,29 +33,32 @@ from pyspark.sql import types as T
 
 from .columns import masked, unmasked
 from .graph import components
-from .storage import cut
+from .sieve import sieved
+from .storage import cut, discard
 from .words import Words, grams, mix, steps, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 32, 8
 RECALL = 0.9999
-#: Texts, and words, of a block at most (a longer text is a block of its own).
-BLOCK_TEXTS, BLOCK_WORDS = 256, 400_000
+#: Texts, and shingles, that a block holds on average at most; a longer text shares its block with none but chance ones.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 400_000
 #: Elements of the incidence matrix that is multiplied at once.
 MATRIX = 4_000_000
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
+_A = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
+
 
+def found(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The probability that some tree has both texts under one node of this depth."""
+    return 1 - (1 - similarity**depth) ** trees
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix whose trees reach the target recall for pairs at the threshold."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+
+def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The shortest prefix that is ever needed: there, pairs at the threshold are found with the target recall."""
+    return next((d for d in range(DEPTH, 1, -1) if found(threshold, d) >= recall), 1)
 
 
 def shingles(cut: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,36 +77,36 @@ def shingles(cut: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def signatures(codes: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-    """A row of TREES keys for each (non-empty) text: codes of its labels' first `depth` values."""
-    keys = np.zeros((len(first) - 1, TREES), np.uint64)
-    for tree in range(TREES):
-        key = np.full(len(first) - 1, tree, np.uint64)
-        for level in range(depth):
-            i = tree * DEPTH + level
-            least = np.minimum.reduceat((codes * _A[i] + _B[i]) >> np.uint64(20), first[:-1])
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        keys[:, tree] = key
-    return keys
-
-
-def fingerprints(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each (non-empty) text: a code of its shingle set, and the set's size."""
+def sets(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each (non-empty) text: its distinct codes in order, where they begin, and a code of the whole set."""
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     order = np.lexsort((codes, of))
     c, o = codes[order], of[order]
     fresh = np.concatenate(([True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])))
     c, o = c[fresh], o[fresh]
-    at = np.searchsorted(o, np.arange(len(first) - 1))
-    size = np.diff(np.append(at, len(o)))
-    return mix(np.add.reduceat(mix(c + np.uint64(0xD1B54A32D192ED03)), at) + size.astype(np.uint64)), size
+    at = np.searchsorted(o, np.arange(len(first)))
+    return c, at, mix(np.add.reduceat(mix(c + np.uint64(0xD1B54A32D192ED03)), at[:-1]) + np.diff(at).astype(np.uint64))
+
+
+def labels(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of TREES labels for each (non-empty) text; a label's bytes, the highest first, stand for its DEPTH minimum hashes."""
+    out = np.zeros((len(first) - 1, TREES), np.uint64)
+    short = (codes >> np.uint64(32)).astype(np.uint32)
+    for tree in range(TREES):
+        for level in range(DEPTH):
+            i = tree * DEPTH + level
+            least = np.minimum.reduceat(short * _A[i] + _B[i], first[:-1])
+            value = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(24)
+            out[:, tree] = (out[:, tree] << np.uint64(8)) | value
+    return out
 
 
-def sign(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, _text: xxhash64 of the text, fp, n_words, n: shingles in the set, keys); fp and keys are null for texts without words."""
-    depth = prefix_depth(threshold, recall)
+def sign(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, _text: xxhash64 of the text, fp, n_words, n: shingles in the set, labels); fp is null for texts without
+    words, labels also for sets that are too small for any other to reach the threshold."""
     df = docs.select(F.col(key), F.xxhash64(text).alias("_text"), F.col(text).cast("string").alias("_t"))
-    schema = T.StructType([df.schema[0], df.schema[1], *(T.StructField(n, t) for n, t in (("fp", T.LongType()), ("n_words", T.LongType()), ("n", T.LongType()), ("keys", T.ArrayType(T.LongType()))))])
+    schema = T.StructType([df.schema[0], df.schema[1], *(T.StructField(n, t) for n, t in (("fp", T.LongType()), ("n_words", T.LongType()), ("n", T.LongType()), ("labels", T.ArrayType(T.LongType()))))])
+    share = round(threshold * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,36 +116,61 @@ def sign(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, rec
                 some = np.diff(first) > 0
                 n = np.zeros(part.num_rows, np.int64)
                 fp = np.zeros(part.num_rows, np.uint64)
-                keys = np.zeros((0, TREES), np.uint64)
+                own, wide = np.zeros((0, TREES), np.uint64), np.zeros(part.num_rows, bool)
                 if some.any():
-                    tight = np.append(first[:-1][some], first[-1])
-                    fp[some], n[some] = fingerprints(codes, tight)
-                    keys = signatures(codes, tight, depth)
-                at = np.concatenate(([0], np.cumsum(np.where(some, TREES, 0)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel().view(np.int64)))
+                    own, at, fp[some] = sets(codes, np.append(first[:-1][some], first[-1]))
+                    n[some] = np.diff(at)
+                    wide = n * 1_000_000 >= (n + 1) * share
+                    own = labels(own, at)[wide[some]]
+                at = np.concatenate(([0], np.cumsum(np.where(wide, TREES, 0)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(own.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64), mask=~some), pa.array(np.diff(cut_.first)), pa.array(n), lists], schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
 
-def verify(table: pa.Table, threshold: float) -> pa.Table:
-    """One pair of blocks: (fp, root, links) of its texts. Rows: fp, copies, side (0, 1, or 2 when the blocks are the same), text."""
-    frame = table.select(["fp", "copies", "side"]).to_pandas()
-    keep = ~frame["fp"].duplicated().to_numpy()  # rows that were repeated in the table
-    frame = frame[keep]
-    cut_ = words(table.column("text").combine_chunks().filter(pa.array(keep)) if not isinstance(table.column("text"), pa.Array) else table.column("text").filter(pa.array(keep)))
-    codes, first = shingles(cut_)
-    n = len(frame)
-    of = np.repeat(np.arange(n), np.diff(first))
-    order = np.lexsort((of, codes))
-    c, o = codes[order], of[order]
-    fresh = np.concatenate(([True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])))[: len(c)]
-    c, o = c[fresh], o[fresh]
-    size = np.bincount(o, minlength=n)
+def nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (tree, label, fp) in order: (depth, node, fp) for each node with company, from DEPTH down to `least`.
+
+    A node whose texts all stand under one longer prefix adds nothing and is left out. The
+    first and the last run of a batch may go on in another one and are always kept.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, label, fp = (batch.column(i).to_numpy() for i in range(3))
+        label = label.view(np.uint64)
+        out: list[tuple] = []
+        below = None  # where runs of the next longer prefix begin
+        for depth in range(DEPTH, least - 1, -1):
+            prefix = label >> np.uint64(8 * (DEPTH - depth))
+            fresh = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (tree[1:] != tree[:-1])))
+            run = np.cumsum(fresh) - 1
+            inside = np.bincount(run) if below is None else np.bincount(run, weights=below)
+            keep = inside[run] > 1
+            keep |= (run == 0) | (run == run[-1])
+            node = mix(mix(prefix[keep]) + (DEPTH + 1) * tree[keep].astype(np.uint64) + np.uint64(depth))
+            out.append((np.full(len(node), depth, np.int32), node.view(np.int64), fp[keep]))
+            below = fresh
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["depth", "node", "fp"])
+
+
+def verify(table: pa.Table, threshold: float, depths: list[int]) -> pa.Table:
+    """One pair of blocks: (fp, root, links, missed) of its texts. Rows: fp, copies, side (0, 1, or 2 when the blocks are the same), codes.
+
+    `missed` has, for each depth, how many links those found here stand for that would not be found there.
+    """
+    table = table.combine_chunks()
+    fp, copies, side = (table.column(c).to_numpy() for c in ("fp", "copies", "side"))
+    n = len(fp)
+    held = [np.frombuffer(b, np.uint64) for b in table.column("codes").to_pylist()]
+    size = np.array([len(h) for h in held])
+    c, o = np.concatenate(held), np.repeat(np.arange(n), size)
     _, which, times = np.unique(c, return_inverse=True, return_counts=True)
     shared = times[which] > 1  # the others are in no intersection
-    number = np.cumsum(times > 1) - 1
-    column, row = number[which[shared]], o[shared]
+    column, row = (np.cumsum(times > 1) - 1)[which[shared]], o[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
     common = np.zeros((n, n), np.float32)
     width = max(256, MATRIX // max(n, 1))
     total = int(column[-1]) + 1 if len(column) else 0
@@ -148,13 +182,14 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
     common = common.astype(np.int64)
     union = size[:, None] + size[None, :] - common
     linked = (common > 0) & (common * 1_000_000 >= union * round(threshold * 1_000_000))
-    side = frame["side"].to_numpy()
     if (side != 2).any():
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
-    links = linked @ frame["copies"].to_numpy()
+    links = linked @ copies
+    i, j = np.nonzero(linked)
+    similar = common[i, j] / union[i, j]
+    missed = [np.bincount(i, (1 / found(similar, d) - 1) * copies[j], n) for d in depths]
     # the least text that each is connected to here
-    fp = frame["fp"].to_numpy()
     rank = np.argsort(np.argsort(fp, kind="stable"), kind="stable")
     root = rank.copy()
     while True:
@@ -164,7 +199,33 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
         if (new == root).all():
             break
         root = new
-    return pa.table({"fp": fp, "root": np.sort(fp)[root], "links": links})
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(depths)), pa.array(np.column_stack(missed).ravel().astype(float) if depths else np.zeros(0)))
+    return pa.table({"fp": fp, "root": np.sort(fp)[root], "links": links, "missed": lists})
+
+
+def _codes(docs: DataFrame, key: str, text: str, samples: DataFrame) -> DataFrame:
+    """(fp, codes: the sorted shingle set) of the sampled documents, found by key and text."""
+    own = F.xxhash64(F.col(key), F.xxhash64(text))
+    rows = sieved(docs.select(key, F.col(text).cast("string").alias("_t"), own.alias("_mark")), F.col("_mark"), samples.select(F.xxhash64(f"sample.{key}", "sample._text").alias("_wanted")), "_wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "_t"):
+                codes, first = shingles(words(part.column(0)))
+                some = np.diff(first) > 0
+                if some.any():
+                    c, at, fp = sets(codes, np.append(first[:-1][some], first[-1]))
+                    data = c.tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([data[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["fp", "codes"])
+
+    return rows.select("_t").mapInArrow(run, "fp long, codes binary").groupBy("fp").agg(F.first("codes").alias("codes"))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(i, j): blocks that have texts under one node, at least one of them open. One row a node and block is joined, not one a text."""
+    seen = met.groupBy("node", "block").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("n"))
+    a, b = seen.select("node", F.col("block").alias("i"), F.col("open").alias("_open"), F.col("n").alias("_n")), seen.select("node", F.col("block").alias("j"), F.col("open").alias("_other"))
+    return a.join(b, "node").where((F.col("_open") | F.col("_other")) & ((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("_n") > 1)))).select("i", "j").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -176,40 +237,65 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     null texts and those without words are linked to nothing, and their class is their own
     key. A null key is a document like others but never a class id unless its whole class
     has none. Repeated rows count as copies of each other. An empty table gives no rows.
-    Columns other than key and text are not read.
+    A very long text is a block of its own or shares one with few; a task holds the sets
+    of two blocks. Columns other than key and text are not read, whatever they are called.
     """
-    signed = cut(sign(docs, key, text, threshold, recall))
+    inner = {key: "k", text: "t"}
+    docs = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    key_name, key, text = key, inner[key], inner[text]
+    least = prefix_depth(threshold, recall)
+    depths = list(range(DEPTH, least, -1))  # those after which texts may be done
+    signed = cut(sign(docs, key, text, threshold), "signed")
     some = signed.where(F.col("fp").isNotNull())
-    nodes = some.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col(key), F.col("_text"))).alias("sample"), F.max("n_words").alias("words"))
-    rows = some.select("fp", F.explode("keys").alias("node"))
-    crowded = rows.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node", "a")
-    candidates = rows.join(crowded, "node").where("fp != a").select("fp", "a").distinct()
-    groups = components(candidates, "fp", "a")
-    groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
-    members = cut(groups.join(nodes, groups["node"] == nodes["fp"]).select("fp", "root", "copies", "sample", "words"))
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    pairs = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("fp", "root", "copies", "sample", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    wanted = members.select(F.col(f"sample.{key}").alias("_key"), F.col("sample._text").alias("_hash")).distinct()
-    source = docs.select(F.col(key).alias("_own_key"), F.xxhash64(text).alias("_own_hash"), F.col(text).cast("string").alias("text"))
-    texts = source.join(wanted, (F.col("_own_hash") == F.col("_hash")) & F.col("_own_key").eqNullSafe(F.col("_key"))).select("_key", "_hash", "text")
-    work = pairs.join(texts, (F.col("sample._text") == F.col("_hash")) & F.col(f"sample.{key}").eqNullSafe(F.col("_key"))).select("root", "i", "j", "fp", "copies", "side", "text")
+    texts = cut(some.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col(key), F.col("_text"))).alias("sample"), F.first("n").alias("n"), F.first("labels").alias("labels")), "texts")
+    rows = texts.where(F.col("labels").isNotNull()).select("fp", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "fp")
+    order = ("tree", "label", "fp")
+    met = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: nodes(batches, least), "depth int, node long, fp long"), "nodes")
+    whole = met.where(F.col("depth") == DEPTH)
+    crowded = whole.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node", "a")
+    homes = components(whole.join(crowded, "node").where("fp != a").select("fp", "a").distinct(), "fp", "a")
+    homes = homes.union(homes.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("home"))
+    company = met.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node")
+    shared = cut(met.join(company, "node"), "shared")
+    members = cut(shared.select("fp").distinct().join(homes, "fp", "left").join(texts.select("fp", "n", "copies", "sample"), "fp").select("fp", F.coalesce("home", "fp").alias("home"), "n", "copies", "sample"), "members")
+    sizes = members.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+    sizes = sizes.repartition(F.xxhash64("home", "_blocks"))  # dealt anew, so that Spark may split the join where a home is hot
+    placed = members.join(sizes, "home").select("fp", "copies", F.xxhash64("home", F.pmod(F.xxhash64("fp"), "_blocks")).alias("block"))
+    held = cut(placed.join(_codes(docs, key, text, members), "fp"), "held")
+    own = held.select("fp", "block")
 
     def check(table: pa.Table) -> pa.Table:
-        return verify(table, threshold)
+        return verify(table, threshold, depths)
 
-    checked = cut(work.groupBy("root", "i", "j").applyInArrow(check, "fp long, root long, links long"))
-    classes = components(checked.select("fp", F.col("root")), "fp", "root")
+    checked, done = None, None
+    for depth in range(DEPTH, least - 1, -1):
+        here = shared.where(F.col("depth") == depth).join(own, "fp")
+        if checked is None:
+            here = here.withColumn("open", F.lit(True))
+        else:
+            at = depths.index(depth + 1)
+            prior = 1 / found(threshold, depth + 1) - 1
+            closed = checked.groupBy("fp").agg(F.sum("links").alias("l"), F.sum(F.get("missed", F.lit(at))).alias("m")).where(F.col("m") + prior <= (1 - recall) * (F.col("l") + 1)).select(F.col("fp").alias("_closed"))
+            here = here.join(closed, F.col("fp") == F.col("_closed"), "left").withColumn("open", F.col("_closed").isNull())
+        pairs = _pairs(here)
+        pairs = cut(pairs if done is None else pairs.join(done, ["i", "j"], "left_anti"), "pairs")
+        if depth < DEPTH and pairs.isEmpty():
+            continue
+        sides = pairs.select("i", "j", F.col("i").alias("block"), F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side")).union(pairs.where("i < j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+        work = sides.join(held, "block").select("i", "j", "fp", "copies", "side", "codes")
+        new = cut(work.groupBy("i", "j").applyInArrow(check, "fp long, root long, links long, missed array<double>"), "checked")
+        checked, done = (new, pairs) if checked is None else (checked.union(new), done.union(pairs))
+    classes = components(checked.select("fp", "root"), "fp", "root")
     links = checked.groupBy("fp").agg(F.sum("links").alias("links"))
-    own = nodes.join(links, "fp", "left").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "fp").alias("root"))
-    own = cut(own)
+    own = texts.select("fp", "least", "copies").join(links, "fp", "left").join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "fp").alias("root"))
+    own = cut(own, "own")
+    discard(texts, met, shared, members, held)
     linked = own.where("links > 0")
-    least = linked.groupBy("root").agg(F.min("least").alias("class_least"))
-    known = linked.join(least, "root").select("fp", F.col("class_least").alias("least"), "copies", "links").union(own.where("links = 0").select("fp", "least", "copies", "links"))
+    lowest = linked.groupBy("root").agg(F.min("least").alias("class_least"))
+    known = linked.join(lowest, "root").select("fp", F.col("class_least").alias("least"), "copies", "links").union(own.where("links = 0").select("fp", "least", "copies", "links"))
     out = signed.join(known, "fp", "left")
     n_copies = F.coalesce(F.col("copies") - 1, F.lit(0))
-    return out.select(key, F.when(F.col("fp").isNull(), F.col(key)).otherwise(F.col("least")).alias("class_id"), (n_copies + F.coalesce("links", F.lit(0))).alias("n_links"), n_copies.alias("n_copies"), "n_words", "_text")
+    return out.select(F.col(key).alias(key_name), F.when(F.col("fp").isNull(), F.col(key)).otherwise(F.col("least")).alias("class_id"), (n_copies + F.coalesce("links", F.lit(0))).alias("n_links"), n_copies.alias("n_copies"), "n_words", "_text")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

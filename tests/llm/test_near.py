@@ -3,11 +3,12 @@
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from ordinale.llm import near
-from ordinale.llm.words import words_of
+from ordinale.llm.words import words, words_of
 
 
 def shingle_set(text):
@@ -75,6 +76,9 @@ def test_chains_and_large_groups(documents, prose, monkeypatch):
 
 def test_odd_rows(spark, documents, odd, clashing):
     df, names = clashing(documents(odd))
+    assert {"fp", "_hash", "keys"} <= set(names)
+    renamed = df.drop("fp", "_hash").withColumnsRenamed({"doc_id": "fp", "text": "_hash"})  # keys and texts called like working columns
+    assert {(r.fp, r.class_id) for r in near.near_duplicates(renamed, "fp", "_hash").collect()} == {(r.doc_id, r.class_id) for r in near.near_duplicates(df).collect()}
     out = near.near_duplicates(df).collect()
     assert len(out) == len(odd)
     by = defaultdict(list)
@@ -92,24 +96,90 @@ def test_odd_rows(spark, documents, odd, clashing):
     assert near.near_duplicates(empty).count() == 0 and near.one_of_each(empty).count() == 0
 
 
-def test_depth_reaches_the_recall():
+def test_shortest_prefix_reaches_the_recall():
     d = near.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** near.TREES >= near.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near.TREES
-    assert near.prefix_depth(0.5, 0.99, 4, 8) == 1
+    assert near.found(0.8, d) >= near.RECALL > near.found(0.8, d + 1)
+    assert near.prefix_depth(0.3, 0.999999) == 1 and near.prefix_depth(1.0, 1.0) == near.DEPTH
+
+
+def table(texts, copies, side):
+    codes, first = near.shingles(words(pa.array(texts)))
+    c, at, _ = near.sets(codes, first)
+    return pa.table({"fp": [30, 10, 20], "copies": copies, "side": side, "codes": pa.array([c[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
 
 def test_verify_matrix_in_slices(prose, monkeypatch):
     monkeypatch.setattr(near, "MATRIX", 600)
     texts = [prose(1, 400), prose(1, 400) + " tail of it", prose(2, 400)]
-    table = pa.table({"fp": [30, 10, 20], "copies": [1, 2, 1], "side": [2, 2, 2], "text": texts})
-    out = near.verify(table, 0.8).to_pydict()
-    assert out == {"fp": [30, 10, 20], "root": [10, 10, 20], "links": [2, 1, 0]}
+    out = near.verify(table(texts, [1, 2, 1], [2, 2, 2]), 0.8, [8, 7]).to_pydict()
+    similar = 396 / 399
+    assert (out["fp"], out["root"], out["links"]) == ([30, 10, 20], [10, 10, 20], [2, 1, 0])
+    assert out["missed"][1] == pytest.approx([1 / near.found(similar, d) - 1 for d in (8, 7)], abs=1e-12) and out["missed"][2] == [0, 0]
+    across = near.verify(table(texts, [1, 2, 1], [0, 0, 1]), 0.8, []).to_pydict()
+    assert across["links"] == [0, 0, 0] and across["root"] == [30, 10, 20]
+
+
+def test_nodes_of_the_sorted_tries():
+    """The runs of each prefix that add texts, whatever the batches; those cut by a batch's end are kept in any case."""
+    rng = np.random.default_rng(2)
+    rows = sorted((int(t), int(x)) for t, x in zip(rng.integers(0, 2, 300), rng.choice(np.array([0, 1, 2, 1 << 8, 1 << 16, 3 << 16, 1 << 40]), 300) + rng.integers(0, 3, 300), strict=True))
+    by = {d: defaultdict(set) for d in (8, 7, 6)}
+    for fp, (t, x) in enumerate(rows):
+        for d in by:
+            by[d][t, x >> 8 * (8 - d)].add(fp)
+    for size in (1, 7, 50, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]], pa.int32()), pa.array([r[1] for r in rows[i : i + size]], pa.int64()), pa.array(range(i, min(i + size, 300)), pa.int64())], ["tree", "label", "fp"]) for i in range(0, 300, size)]
+        got = defaultdict(set)
+        for b in near.nodes(iter(batches), 6):
+            for d, node, fp in zip(*b.to_pydict().values(), strict=True):
+                got[d, node].add(fp)
+        for d in by:
+            want = {frozenset(s) for k, s in by[d].items() if len(s) > 1 and (d == 8 or len({rows[f] for f in s} if d == 7 else {rows[f][1] >> 8 for f in s}) > 1)}
+            here = {frozenset(s) for (k, _), s in got.items() if k == d}
+            assert want <= here and all(s in {frozenset(x) for x in by[d].values()} for s in here)
+
+
+def test_prefixes_shorten_only_for_open_texts(documents, prose, monkeypatch):
+    """Twenty texts with nineteen close links each are done one step before texts with one link are."""
+    base = prose(1, 300).split()
+    rows = [(i, " ".join(f"e{i}" if j == 11 * i else w for j, w in enumerate(base))) for i in range(20)]
+    searched = []
+    plain = near._pairs
+    monkeypatch.setattr(near, "_pairs", lambda met: searched.append(met.where("open").count()) or plain(met))
+    assert result(documents(rows)) == brute(rows)
+    assert len(searched) == 3 and searched[0] > 0 and searched[1] > 0 == searched[2]
+    searched.clear()
+    few = [(50, prose(9, 300)), (51, " ".join(prose(9, 300).split()[:270] + ["x"] * 30))]
+    assert result(documents(few)) == brute(few)
+    assert len(searched) == 3 and searched[2] > 0
+
+
+def test_long_texts_meet_in_occupied_blocks_only(spark, documents, prose, monkeypatch):
+    """Two texts of many times a block's size are two blocks, and compared once."""
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 500)
+    tasks = []
+    plain = near._pairs
+    monkeypatch.setattr(near, "_pairs", lambda met: tasks.append(plain(met).count()) or plain(met))
+    long = prose(1, 20_000)
+    rows = [(1, long), (2, long + " and more"), (3, prose(2, 100))]
+    assert result(documents(rows)) == brute(rows)
+    assert 1 <= sum(tasks) <= 3
+
+
+def test_recall_by_similarity(documents):
+    """Pairs of random texts at given similarities, most of them just above the threshold: none is missed."""
+    rows, want = [], 0
+    for k in range(400):
+        n = 200 + k % 100
+        w = [f"w{k}x{i}" for i in range(n)]
+        other = w[: n - 1 - int(n * (k % 9) / 100)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    want = brute(rows)
+    assert result(documents(rows)) == want and sum(n for _, n in want.values()) == 800
 
 
 @pytest.mark.parametrize("text", ["", "...", "a b c d", "a b c d e", "a a a a a a a"])
 def test_shingles(text):
-    from ordinale.llm.words import words
-
     codes, first = near.shingles(words(pa.array([text, "p q r s t u", text])))
     assert first[1] - first[0] == len([1 for _ in range(max(1, len(words_of(text)) - 4))] if words_of(text) else [])
     assert (codes[first[0] : first[1]] == codes[first[2] : first[3]]).all()
