@@ -14,8 +14,8 @@ that have not are matched anew with prefixes one byte shorter, against all texts
 the depth at which even a text with a single link at the threshold reaches the target.
 Texts in crowded groups stop early, and lone texts go down to that depth.
 
-Verification is by blocks: the components of nodes of full depth, cut by hash to a bounded
-size. Two blocks are compared where some node has texts of both, in one bounded task that
+Verification is by blocks: the components of all nodes, cut by hash to a bounded size. Two
+blocks are compared, once, where some node has texts of both, in one bounded task that
 intersects sets by matrix products and returns, instead of pairs, one row a text: its
 number of links and the least text it is connected to. Texts with equal shingle sets are
 one node throughout, so copies cost nothing. Links between different texts are all counted.
@@ -251,13 +251,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     rows = texts.where(F.col("labels").isNotNull()).select("fp", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "fp")
     order = ("tree", "label", "fp")
     met = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: nodes(batches, least), "depth int, node long, fp long"), "nodes")
-    whole = met.where(F.col("depth") == DEPTH)
-    crowded = whole.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node", "a")
-    homes = components(whole.join(crowded, "node").where("fp != a").select("fp", "a").distinct(), "fp", "a")
-    homes = homes.union(homes.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("home"))
-    company = met.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node")
+    company = met.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node", "a")
     shared = cut(met.join(company, "node"), "shared")
-    members = cut(shared.select("fp").distinct().join(homes, "fp", "left").join(texts.select("fp", "n", "copies", "sample"), "fp").select("fp", F.coalesce("home", "fp").alias("home"), "n", "copies", "sample"), "members")
+    homes = components(shared.where("fp != a").select("fp", "a").distinct(), "fp", "a")
+    homes = homes.union(homes.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("home"))
+    members = cut(homes.join(texts.select("fp", "n", "copies", "sample"), "fp"), "members")
     sizes = members.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     sizes = sizes.repartition(F.xxhash64("home", "_blocks"))  # dealt anew, so that Spark may split the join where a home is hot
     placed = members.join(sizes, "home").select("fp", "copies", F.xxhash64("home", F.pmod(F.xxhash64("fp"), "_blocks")).alias("block"))
