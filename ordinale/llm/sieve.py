@@ -33,14 +33,17 @@ def blocks(keys: DataFrame, hashed: str, count: int) -> DataFrame:
     return keys.groupBy(h.bitwiseAND(F.lit(number(count) - 1)).alias("block")).agg(*(F.bit_or(b).alias(f"w{i}") for i, b in enumerate(bits(h))))
 
 
-def sieved(df: DataFrame, h: Column, keys: DataFrame, hashed: str) -> DataFrame:
-    """Rows of `df` whose hash `h` may be among the keys: all that are, and about one in a thousand of the others."""
+def marked(df: DataFrame, h: Column, keys: DataFrame, hashed: str, name: str) -> DataFrame:
+    """`df` with a boolean column: whether the row's hash `h` may be among the keys. It is for all that are, and for about one in a thousand of the others."""
     count = keys.count()
     table = blocks(keys, hashed, count).select(F.col("block").alias("_block"), *(F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS)))
-    kept = df.columns
-    marked = df.withColumn("_h", h)
-    near = marked.join(F.broadcast(table), F.col("_h").bitwiseAND(F.lit(number(count) - 1)) == F.col("_block"))
+    near = df.withColumn("_h", h).join(F.broadcast(table), F.col("_h").bitwiseAND(F.lit(number(count) - 1)) == F.col("_block"), "left")
     passed = F.lit(True)
     for i, b in enumerate(bits(F.col("_h"))):
         passed = passed & (F.col(f"_w{i}").bitwiseAND(b) != 0)
-    return near.where(passed).select(*kept)
+    return near.select(*df.columns, F.coalesce(passed, F.lit(False)).alias(name))
+
+
+def sieved(df: DataFrame, h: Column, keys: DataFrame, hashed: str) -> DataFrame:
+    """The rows of `df` whose hash `h` may be among the keys."""
+    return marked(df, h, keys, hashed, "_may").where("_may").drop("_may")

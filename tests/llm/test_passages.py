@@ -80,12 +80,52 @@ def test_neighbours_across_batches():
     held = {s: {t for x, t in rows if x == s} for s, _ in rows}
     want = {r for r in rows if len(held[r[0]]) > 1}
     for size in (1, 2, 7, 400):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size], strict=True)], ["suffix", "_hash"]) for i in range(0, 400, size)]
-        got = [(s, t) for b in passages.neighbours(iter(batches)) for s, t in zip(*b.to_pydict().values(), strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([bytes([7] * 17 + [s]) for s, _ in rows[i : i + size]]), pa.array([t for _, t in rows[i : i + size]], pa.int64()), pa.array([1] * len(rows[i : i + size]), pa.int32())], ["head", "_hash", "n"]) for i in range(0, 400, size)]
+        got = [(s[-1], t) for b in passages.neighbours(iter(batches)) for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         assert len(got) == len(set(got)) and want <= set(got)
         assert set(got) - want <= {r for r in rows if r[0] in (rows[0][0], rows[-1][0])}
 
 
+def test_large_runs_are_met_by_grouping(documents, prose, monkeypatch):
+    """The same result whether a run's matches are grown pair by pair or its stretches are grouped."""
+    rows = planted(prose)
+    for run in (0, 2, 5):
+        monkeypatch.setattr(passages, "RUN", run)
+        assert result(documents(rows).repartition(3)) == brute(rows)
+
+
+def test_matches_with_several_texts(documents, prose):
+    """The longest match to the left is with another text than the one to the right, and neither reaches the length alone."""
+    left, middle, right = prose(1, 20), prose(2, 30), prose(3, 20)
+    rows = [(1, f"{prose(11, 60)} {left} {middle} {prose(12, 60)}"), (2, f"{prose(13, 60)} {middle} {right} {prose(14, 60)}"), (3, f"{prose(15, 60)} {left} {middle} {right} {prose(16, 60)}"), (4, f"{prose(17, 60)} {middle} {prose(18, 60)}")]
+    want = brute(rows)
+    assert result(documents(rows)) == want and want[3][1] and want[4][1] == []
+
+
+def test_order_of_documents_with_equal_and_null_keys(documents, prose):
+    """Keys order documents whatever else is in the table; nulls come last, and equal keys go by their texts."""
+    p = prose(900, 60)
+    rows = [(5, f"{p} {prose(1, 80)}"), (9, f"{prose(2, 80)} {p}"), (7, f"{prose(3, 70)} {p} x"), (2, prose(4, 90))]
+    plain = {r.doc_id: r.text for r in passages.remove_repeats(documents(rows)).collect()}
+    assert words_of(plain[5]) == words_of(rows[0][1]) and (len(words_of(plain[9])), len(words_of(plain[7]))) == (80, 71)
+    more = rows + [(2, prose(5, 90)), (None, f"{p} null"), (None, prose(6, 60))]
+    got = [(r.doc_id, r.text) for r in passages.remove_repeats(documents(more)).collect()]
+    assert {(i, t) for i, t in got if i in (5, 7, 9)} == set(plain.items()) - {(2, plain[2])}
+    assert (None, "null") in got
+
+
+def test_removal_from_many_texts_at_once():
+    texts = pa.array(["a b, c d.", None, "", "(x) y z", "no change!", "p q r s t"])
+    out, gone = passages.without(texts, pa.array([[1], None, None, [0, 1], None, [0, 3]], pa.list_(pa.int32())), 2)
+    assert out.to_pylist() == ["a d.", None, "", "(", "no change!", "r "] and list(gone) == [False, False, False, True, False, False]
+
+
+def test_keys_called_like_working_columns(documents, prose):
+    rows = planted(prose)
+    df = documents(rows).withColumnsRenamed({"doc_id": "stretch", "text": "_hash"})
+    assert {r["stretch"]: (r.n_words, r.starts, r.later) for r in passages.repeated(df, "stretch", "_hash").collect()} == brute(rows)
+
+
 def test_merged(spark):
     from pyspark.sql import functions as F
 
