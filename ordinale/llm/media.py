@@ -53,40 +53,63 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("the largest sample is out of range")
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * depth
+    row = (width + 7) // 8
+    least = {b"P1": n, b"P4": row * height + 1}.get(kind) or (2 * n - 1 if kind in (b"P2", b"P3") else n * (1 + (most > 255)) + 1)
+    if n and least > len(data) - at:  # before anything of that size is made
+        raise ValueError("the raster is too short")
     if kind == b"P1":
         body = b"\n".join(line.split(b"#")[0] for line in data[at:].splitlines())
         out = np.frombuffer(body, np.uint8)
         out = out[(out == 48) | (out == 49)][:n] - 48
     elif kind in (b"P2", b"P3"):
         body = b"\n".join(line.split(b"#")[0] for line in data[at:].splitlines())
-        out = np.array(body.split()[:n], np.uint16 if most > 255 else np.uint8)
+        numbers = body.split(None, n)[:n]
+        if not all(x.isdigit() and len(x) < 10 for x in numbers):
+            raise ValueError("a sample is no number")
+        out = np.array([int(x) for x in numbers], np.int64)
     elif kind == b"P4":
-        row = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, row * height, at + 1)
         out = np.unpackbits(raw.reshape(height, row), axis=1)[:, :width].ravel()
     else:
         out = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
-        out = out.astype(np.uint16) if most > 255 else out
     if len(out) != n:
         raise ValueError("the raster is too short")
-    if bits:
-        out = ((1 - out) * 255).astype(np.uint8)
+    if n and int(out.max()) > most:
+        raise ValueError("a sample exceeds the largest one stated")
+    out = ((1 - out) * 255).astype(np.uint8) if bits else out.astype(np.uint16 if most > 255 else np.uint8)
     return out.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
+def _masked(raw: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """Pixels of 16 or 32 bits as red, green and blue, each cut out by its mask and stretched to 0 to 255."""
+    out = np.zeros((*raw.shape, 3), np.uint8)
+    for i, mask in enumerate(masks):
+        low = (mask & -mask).bit_length() - 1
+        most = mask >> max(low, 0)
+        if not mask or most & (most + 1):
+            raise ValueError("a mask is not one run of bits")
+        out[:, :, i] = ((raw.astype(np.uint64) & np.uint64(mask)) >> np.uint64(low)) * np.uint64(255) // np.uint64(most)
+    return out
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width, 3), or (height, width) if its palette is grey."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits, with bit fields or without, as (height, width, 3), or (height, width) if its palette is grey."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP picture")
     offset, size = struct.unpack_from("<II", data, 10)
     if size < 40:
         raise ValueError("an old BMP header")
     width, height, _, depth, packing, _, _, _, colours = struct.unpack_from("<iiHHIIiiI", data, 18)
-    if packing not in (0, 3) or depth not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    if depth not in (1, 4, 8, 16, 24, 32) or packing != 0 and (packing != 3 or depth not in (16, 32)) or width <= 0 or not height:
         raise ValueError("an unsupported BMP kind")
     rows, stride = abs(height), (width * depth + 31) // 32 * 4
+    if stride * rows > len(data) - offset or colours > 1 << min(depth, 8):
+        raise ValueError("the raster or the palette is too short")
     raw = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
     raw = raw[::-1] if height > 0 else raw
+    if depth in (16, 32) and (packing or depth == 16):
+        masks = struct.unpack_from("<III", data, 54) if packing else (0x7C00, 0x03E0, 0x001F)
+        return _masked(np.ascontiguousarray(raw).view("<u2" if depth == 16 else "<u4")[:, :width], masks)
     if depth >= 24:
         return np.ascontiguousarray(raw[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1])
     palette = np.frombuffer(data, np.uint8, 4 * (colours or 1 << depth), 14 + size).reshape(-1, 4)[:, 2::-1]
@@ -138,7 +161,7 @@ def difference_hash(sums: np.ndarray) -> str:
 
 def npy(array: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.lib.format.write_array(out, array, version=(1, 0), allow_pickle=False)
+    np.lib.format.write_array(out, np.ascontiguousarray(array), version=(1, 0), allow_pickle=False)
     return out.getvalue()
 
 
@@ -154,7 +177,10 @@ def media_columns(df: DataFrame, media: str = "media", tile: int = TILE) -> Data
     """`df` with what its pictures hold: ``height``, ``width``, ``samples`` (the decoded
     array's bytes), ``tile`` (an NPY file, `tile` by `tile` grey) and ``dhash``.
 
-    A null, an empty picture or one that can't be decoded has nulls in these columns.
+    A null, an empty picture or one that can't be decoded (malformed, cut off, with samples
+    above the stated largest one or a size that its bytes don't fill) has nulls in these
+    columns. A very long picture is decoded whole in its task, which takes about 20 times
+    its bytes for the running sums; nothing larger than its bytes allow is ever made.
     Columns of these names are replaced; all others are carried along. Rows are handled
     one by one, so repeated rows give equal results and an empty table stays empty.
     """
@@ -168,9 +194,9 @@ def media_columns(df: DataFrame, media: str = "media", tile: int = TILE) -> Data
             sums = integral(grey(picture))
             if not picture.size:
                 raise ValueError("no samples")
-        except (ValueError, struct.error, IndexError):
+        except (ValueError, struct.error, IndexError, OverflowError):
             return (None,) * 5
-        small = np.clip(np.rint(area_resize(sums, tile, tile)), 0, 65535 if picture.dtype == np.uint16 else 255).astype(picture.dtype)
+        small = np.clip(np.rint(np.round(area_resize(sums, tile, tile), 6)), 0, 65535 if picture.dtype == np.uint16 else 255).astype(picture.dtype)
         return picture.shape[0], picture.shape[1], picture.tobytes(), npy(small), difference_hash(sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,6 +45,13 @@ def test_fill_by_its_definition():
     assert sharding.fill(names, slots) == [table[i] for i in range(slots)]
 
 
+def test_sharding_carries_clashing_names(spark, documents, odd, clashing):
+    df, names = clashing(documents(odd))
+    rows = sharding.shard(df.withColumns({"shard": F.lit(1), "n": F.lit("own n")}), ["a", "b"], slots=7).collect()
+    assert len(rows) == len(odd) and all(r[n] == f"own {n}" for r in rows for n in [*names, "n"]) and {r.shard for r in rows} <= {"a", "b"}
+    assert len({r.shard for r in rows if r.doc_id is None}) == 1
+
+
 def test_sharding_is_native_and_whole(spark, data, documents, odd):
     df = queries.op4_sharding(spark, f"{data}/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -98,6 +105,8 @@ def test_urls(spark, monkeypatch, broadcast):
     assert len(rows) == len(URLS) * 2 and all((r["_row"], r["_keys"], r["_best"]) == ("own", 1, 2) for r in rows)
     for r in rows:
         assert (r.host, r.path, r.rule, r.verdict) == plain_verdict(r.url, queries.URL_RULES), r.url
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == (broadcast == 0)
     assert urls.judge(df.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge(df, rules.limit(0), default="block").collect()} == {"block"}
 
@@ -105,11 +114,31 @@ def test_urls(spark, monkeypatch, broadcast):
 def test_bloom_filter_has_no_false_negatives_and_few_false_hits(spark):
     keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     held = urls.bloom(keys, "h")
+    assert (urls.bloom_of(np.array([r[0] for r in keys.collect()])).blocks == held.blocks).all()
     own = np.array([r[0] for r in keys.collect()])
     other = np.array([r[0] for r in spark.range(50_000, 90_000).select(F.xxhash64("id")).collect()])
     assert held.hits(own).all() and held.hits(other).mean() < 0.02
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_urls_with_many_rules(spark, monkeypatch, broadcast):
+    """Rules of all kinds of lengths, ties and equal keys, against plain matching."""
+    import random
+
+    monkeypatch.setattr(urls, "BROADCAST_RULES", broadcast)
+    rng = random.Random(8)
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "net", "A.net", "x.y"]
+    paths = ["/", "/a", "/a/", "/ab/", "/é/", ""]
+    rules = [(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(25)]
+    held = {}
+    for h, p, v in rules:
+        held[h.lower(), p] = min(v, held.get((h.lower(), p), v))
+    table = spark.createDataFrame([*rules, (None, "/", "block"), ("com", None, "block"), ("com", "/", None), ("", "/", "block")], "host string, path string, verdict string")
+    pages = [(i, f"http://{rng.choice(['', 'www.', 'z.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'b', '/b', '?a', '#/a/'])}") for i in range(300)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), table).collect()}
+    assert got == {i: plain_verdict(u, [(h, p, v) for (h, p), v in held.items()])[2:] for i, u in pages}
+
+
 # media
 
 
@@ -147,6 +176,44 @@ def test_bmp():
     assert (media.decode(bmp([bytes([0x10])], 2, 4, colour)) == np.array([[[0, 255, 0], [255, 0, 0]]])).all()
 
 
+def test_bmp_bit_fields():
+    def fields(rows, width, depth, masks):
+        out = bytearray(bmp(rows, width, depth, struct.pack("<III", *masks)))
+        out[30:34], out[46:50] = struct.pack("<I", 3), struct.pack("<I", 0)
+        return bytes(out)
+
+    px = struct.pack("<II", 0x00FF8001, 0x00010203)
+    assert (media.decode(fields([px], 2, 32, (0xFF0000, 0xFF00, 0xFF))) == np.array([[[255, 128, 1], [1, 2, 3]]])).all()
+    assert (media.decode(fields([px], 2, 32, (0xFF, 0xFF00, 0xFF0000))) == np.array([[[1, 128, 255], [3, 2, 1]]])).all()
+    assert (media.decode(fields([struct.pack("<HH", 0xF800, 0x07E0)], 2, 16, (0xF800, 0x07E0, 0x1F))) == np.array([[[255, 0, 0], [0, 255, 0]]])).all()
+    assert (media.decode(bmp([struct.pack("<HH", 0x7C00, 0x001F)], 2, 16)) == np.array([[[255, 0, 0], [0, 0, 255]]])).all()
+    for masks in ((0, 1, 2), (0b101, 8, 16)):
+        with pytest.raises(ValueError):
+            media.decode(fields([px], 2, 32, masks))
+
+
+MALFORMED = [b"P2 1 1 255\n300", b"P2 2 1 255\n-1 5", b"P5 99999999999 99999999999 255\n12", b"P2 99999999999 99999999999 255\n1 2", b"P1 99999999999 99999999999\n1", b"P4 99999999999 99999999999\nx", b"P6 4000000000 4000000000 65535\nx", b"P5 1 1 100\n\xff", b"P2 1 1 255\n" + b"9" * 5000, b"P5 " + b"9" * 5000 + b" 1 255\n1", b"P2 1 1 255\n1e3", b"BM" + b"\0" * 60, b"BM" + struct.pack("<IHHI", 60, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2**31 - 1, -(2**31), 1, 32, 0, 0, 0, 0, 0, 0), bmp([b"\x70"], 1, 4, b"\0\0\0\0")]
+
+
+def test_malformed_pictures_are_null(spark):
+    rows = media.media_columns(spark.createDataFrame([(i, d) for i, d in enumerate(MALFORMED)], "n int, media binary")).collect()
+    assert len(rows) == len(MALFORMED) and all(r.height is r.samples is r.tile is r.dhash is None for r in rows)
+
+
+def test_random_bytes_never_crash():
+    rng = np.random.default_rng(5)
+    heads = [b"P%d %d %d %d\n" % (k, w, h, m) for k in range(1, 7) for w, h, m in ((3, 2, 255), (0, 5, 1), (7, 1, 65535))] + [bmp([b"\1" * 12] * 2, 3, d, b"\1\2\3\0" * 4) for d in (1, 4, 8, 16, 24, 32)]
+    for _ in range(3000):
+        raw = bytearray(heads[rng.integers(len(heads))] + rng.bytes(rng.integers(0, 40)))
+        for _ in range(rng.integers(0, 4)):
+            raw[rng.integers(len(raw))] = rng.integers(256)
+        try:
+            picture = media.decode(bytes(raw))
+        except (ValueError, struct.error, IndexError):
+            continue
+        assert picture.dtype in (np.uint8, np.uint16) and picture.ndim in (2, 3)
+
+
 @pytest.mark.parametrize(("h", "w"), [(1, 64), (7, 64), (64, 9), (100, 33)])
 def test_area_resize(h, w):
     """Against overlaps of cells summed one by one."""
@@ -181,6 +248,12 @@ def test_media_round_trip(spark, data, tmp_path, documents, odd):
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
             assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
             assert by_text.setdefault(raw, r.feature) == r.feature and len(r.feature) == 16
+            picture = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(float)
+            if picture.shape[0] % 16 == 0:  # whole cells: plain means
+                tile = np.rint(picture.reshape(16, -1, 16, 4).mean(axis=(1, 3))).astype(np.uint8)
+                out = io.BytesIO()
+                np.save(out, tile)
+                assert (r.tile_bytes, r.tile_sha256) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
 
 
 def test_media_columns(spark):
@@ -193,3 +266,10 @@ def test_media_columns(spark):
     assert (tile == np.rint(picture.reshape(16, 3, 16, 2).mean(axis=(1, 3)))).all()
     assert all(out[i].dhash is None and out[i].height is None for i in (2, 3, 4, 5))
     assert media.media_columns(spark.createDataFrame([], "n int, media binary")).count() == 0
+
+
+def test_media_columns_carry_clashing_names(spark, documents, odd, clashing):
+    df, names = clashing(documents(odd))
+    out = media.media_columns(df.withColumn("media", media.text_picture(F.col("text"))).withColumn("samples", F.lit(1)))
+    rows = out.collect()
+    assert len(rows) == len(odd) and all(r[n] == f"own {n}" for r in rows for n in names) and all(r.samples.startswith((r.text or "").encode()) for r in rows)
