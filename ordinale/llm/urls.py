@@ -5,7 +5,11 @@ starts with the prefix. The listed rules' canonical keys (host and path in one s
 fill a blocked Bloom filter: a key picks one 512-bit block and sets one bit in each of its
 eight words, so a probe touches one cache line. A URL's candidate keys (each suffix of its
 host with each listed prefix length of its path) are probed, and possible hits go on to
-an exact join with the rules that removes false positives. The longest rule wins.
+an exact hash join with the rules that removes false positives. The longest rule wins.
+
+Up to BROADCAST_RULES rules the exact table is broadcast with the filter, so that nothing
+is shuffled. Beyond, only possible hits are joined by shuffle; rows without any, most of
+them as a rule, pass by.
 """
 
 from __future__ import annotations
@@ -14,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import masked, unmasked
+from .storage import cut
 
 #: Bytes of filter at most; it is sent to every executor. Longer lists only let more false hits through to the join.
 MOST_BYTES = 32 << 20
@@ -63,6 +69,15 @@ class BlockedBloom:
         return ((rows >> bits.astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
 
+def bloom_of(hashes: np.ndarray) -> BlockedBloom:
+    """The filter of hashes at hand."""
+    number = BlockedBloom.number(len(hashes))
+    blocks = np.zeros((number, 8), np.uint64)
+    for i in range(8):
+        np.bitwise_or.at(blocks[:, i], hashes & (number - 1), np.uint64(1) << ((hashes >> (16 + 6 * i)) & 63).astype(np.uint64))
+    return BlockedBloom(blocks)
+
+
 def bloom(keys: DataFrame, hashed: str) -> BlockedBloom:
     """The filter of a column of 64-bit hashes, each block being made by grouped aggregation."""
     number = BlockedBloom.number(keys.count())
@@ -75,6 +90,39 @@ def bloom(keys: DataFrame, hashed: str) -> BlockedBloom:
     return BlockedBloom(blocks.view(np.uint64))
 
 
+class Rules:
+    """The exact table of a list that is broadcast: rules in the order of their hashes."""
+
+    def __init__(self, rows: list[tuple]):
+        rows = sorted(rows, key=lambda r: r[3])
+        self.key = pa.array([r[0] for r in rows], pa.string())
+        self.verdict = pa.array([r[1] for r in rows], pa.string())
+        self.length = np.array([len(r[0]) for r in rows], np.int64)
+        self.host = np.array([r[2] for r in rows], np.int64)
+        self.hash = np.array([r[3] for r in rows], np.int64)
+
+    def longest(self, keys: pa.Array, hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """The place of the longest rule that is among each of n rows' keys, or -1."""
+        first, last = (np.searchsorted(self.hash, hashes, side) for side in ("left", "right"))
+        best = np.full(n, -1)
+        size = last - first
+        which = np.repeat(np.arange(len(hashes)), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        same = pc.equal(keys.take(pa.array(which)), self.key.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        which, place = row[which[same]], place[same]
+        order = np.lexsort((self.host[place], self.length[place], which))
+        best[which[order]] = place[order]
+        return best
+
+
+def _listed(rules: DataFrame) -> DataFrame:
+    """(_key, _verdict, _long: the host's length, _hash) of the rules that count."""
+    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull() & (F.col("host") != ""))
+    listed = rules.groupBy(F.concat(F.translate("host", UPPER, LOWER), "path").alias("_key"), F.translate("host", UPPER, LOWER).alias("_host")).agg(F.min("verdict").alias("_verdict"))
+    listed = listed.groupBy("_key").agg(F.max_by(F.struct("_verdict", F.length("_host").alias("_long")), F.length("_host")).alias("_r")).select("_key", "_r.*")
+    return listed.select("_key", "_verdict", F.col("_long").cast("long").alias("_long"), F.xxhash64("_key").alias("_hash"))
+
+
 def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """`df` with ``host``, ``path``, ``rule`` (the longest fitting rule, or null) and ``verdict``.
 
@@ -82,23 +130,53 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     the one with the least verdict counts, and rows with a null in them are ignored. Ties
     in length go to the longer host. A null URL or one without :// has an empty host and
     path and gets the default, as does every URL that no rule fits. Repeated rows are
-    judged alike. Columns of the four names are replaced.
+    judged alike, and an empty table stays empty. A very long URL has one candidate key
+    for each label of its host and each length of a listed path. Columns of the four names
+    are replaced.
     """
-    listed = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("verdict").isNotNull() & (F.col("host") != ""))
-    listed = listed.groupBy(F.concat(F.translate("host", UPPER, LOWER), "path").alias("_key"), F.translate("host", UPPER, LOWER).alias("_host")).agg(F.min("verdict").alias("_verdict"))
-    listed = listed.groupBy("_key").agg(F.max_by(F.struct("_verdict", F.length("_host").alias("_long")), F.length("_host")).alias("_r")).select("_key", "_r.*").withColumn("_hash", F.xxhash64("_key"))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)  # distinct lengths of paths only
+    listed = _listed(rules)
+    few = listed.limit(BROADCAST_RULES + 1).collect()  # bounded
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = host_and_path(F.coalesce(F.col(url).cast("string"), F.lit("")))
+    host, path = host_and_path(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")))
     own, inner = masked(df.withColumns({"host": host, "path": path}), [*kept, "host", "path"])
-    rows = own.withColumnsRenamed({inner["host"]: "host", inner["path"]: "path"}).withColumn("_row", F.monotonically_increasing_id())
+    rows = own.withColumnsRenamed({inner["host"]: "host", inner["path"]: "path"})
     inner |= {"host": "host", "path": "path"}
-    kept = [inner[c] for c in kept]
-    if not lengths:
+    if not few:
         return unmasked(rows, inner).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    rows = rows.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths)).withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
-    count = listed.count()
-    shared = df.sparkSession.sparkContext.broadcast(bloom(listed, "_hash").blocks)
+    if len(few) <= BROADCAST_RULES:
+        return _by_broadcast(rows, inner, few, default)
+    return _by_shuffle(rows, inner, listed, rules, default)
+
+
+def _probed(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    return rows.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths)).withColumn("_hashes", F.transform("_keys", lambda k: F.xxhash64(k)))
+
+
+def _by_broadcast(rows: DataFrame, inner: dict[str, str], few: list, default: str) -> DataFrame:
+    lengths = sorted({len(r[0]) - r[2] for r in few})
+    rows = _probed(rows, lengths)
+    schema = T.StructType([*rows.schema.fields[:-2], T.StructField("_rule", T.StringType()), T.StructField("_verdict", T.StringType())])
+    shared = rows.sparkSession.sparkContext.broadcast((bloom_of(np.array([r[3] for r in few], np.int64)).blocks, [tuple(r) for r in few]))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, held = shared.value
+        sieve, exact = BlockedBloom(blocks), Rules(held)
+        for batch in batches:
+            keys, hashes = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            flat, hashed = keys.flatten(), hashes.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), keys.value_lengths().fill_null(0).to_numpy())
+            good = sieve.hits(hashed)
+            best = exact.longest(flat.filter(pa.array(good)), hashed[good], row[good], batch.num_rows)
+            at = pa.array(best, mask=best < 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], exact.key.take(at), exact.verdict.take(at)], schema.fieldNames())
+
+    return unmasked(rows.mapInArrow(probe, schema), inner, F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+
+
+def _by_shuffle(rows: DataFrame, inner: dict[str, str], listed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)  # distinct lengths of paths only
+    rows = _probed(rows.withColumn("_row", F.monotonically_increasing_id()), lengths)
+    shared = rows.sparkSession.sparkContext.broadcast(bloom(listed, "_hash").blocks)
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_hashes"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +189,12 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
             left = pa.ListArray.from_arrays(pa.array(first), keys.flatten().filter(pa.array(good)))
             yield pa.RecordBatch.from_arrays([left if n == "_keys" else batch.column(batch.schema.get_field_index(n)) for n in schema.fieldNames()], schema.fieldNames())
 
-    possible = rows.mapInArrow(probe, schema).select(*kept, "host", "path", "_row", F.explode_outer("_keys").alias("_key"))
-    listed = listed.select("_key", "_verdict", "_long")
-    if count <= BROADCAST_RULES:
-        hit = possible.join(F.broadcast(listed), "_key", "left")
-    else:
-        salted = listed.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        hit = possible.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], "left")
-    best = F.max_by(F.when(F.col("_verdict").isNotNull(), F.struct("_key", "_verdict")), F.when(F.col("_verdict").isNotNull(), F.struct(F.length("_key"), F.col("_long"))))
-    out = hit.groupBy("_row").agg(*(F.first(c).alias(c) for c in (*kept, "host", "path")), best.alias("_best"))
-    return unmasked(out, inner, F.col("_best._key").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))
+    probed = cut(rows.mapInArrow(probe, schema), "probed")  # read twice, and its row numbers must not change
+    none = F.lit(None).cast("string")
+    passed = unmasked(probed.where(F.size("_keys") == 0), inner, none.alias("rule"), F.lit(default).alias("verdict"))
+    possible = probed.where(F.size("_keys") > 0)
+    salted = listed.select("_key", "_verdict", "_long", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    keys = possible.select("_row", F.explode("_keys").alias("_key")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    best = keys.join(salted, ["_key", "_salt"]).groupBy(F.col("_row").alias("_hit")).agg(F.max_by(F.struct("_key", "_verdict"), F.struct(F.length("_key"), F.col("_long"))).alias("_best"))
+    hit = possible.join(best, F.col("_row") == F.col("_hit"), "left")
+    return passed.union(unmasked(hit, inner, F.col("_best._key").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict")))
