@@ -5,7 +5,9 @@ by host and by path within the host: a path's mean is shrunk towards its host's,
 host's towards the global prior, the less rows it has the more. How strongly is learned
 from all groups at once: the precision of the beta prior follows from how far the groups'
 means spread beyond what chance explains. A document's posterior odds are its own odds
-moved by how far its site's posterior lies from the prior.
+moved by how far its site's posterior lies from the prior. That site's posterior is taken
+over the other documents there, so no document's evidence counts twice; one that is alone
+on its site moves with nothing but the prior.
 """
 
 from __future__ import annotations
@@ -138,8 +140,10 @@ def classify(docs: DataFrame, model: Classifier | None, host: str = "source", pa
     """`docs` without its text and with ``document_quality``, ``host_quality``,
     ``path_quality``, ``quality`` (the posterior, 0 to 1) and ``keep`` (0.5 or more).
 
-    A null host or path is a group of its own. Null and empty texts are scored as texts
-    without words; repeated rows count as often as they stand there and get equal results.
+    Host and path posteriors are those of the whole site, ``quality`` takes that of the
+    site's other documents. A null host or path is a group of its own. Null and empty texts
+    are scored as texts without words; very long ones in one task, whole. Repeated rows
+    count as often as they stand there and get equal results; an evidence of 0.5 is kept.
     An empty table gives no rows. Groups are summed before they are shuffled, and the
     sums (one row a path) are joined back by equality on host and path.
     """
@@ -154,17 +158,20 @@ def classify(docs: DataFrame, model: Classifier | None, host: str = "source", pa
     k_host = precision(hosts, "_host_n", "_host_sum", prior)
     k_path = precision(paths, "_n", "_sum", prior)
     own_host = hosts.withColumnRenamed("_host", "_own_host")
-    sites = paths.join(own_host, paths["_host"].eqNullSafe(own_host["_own_host"]))
-    sites = sites.withColumn("host_quality", (F.col("_host_sum") / UNIT + k_host * prior) / (F.col("_host_n") + k_host))
-    sites = sites.withColumn("path_quality", (F.col("_sum") / UNIT + k_path * F.col("host_quality")) / (F.col("_n") + k_path))
-    sites = sites.select("_host", "_path", "host_quality", "path_quality")
+    sites = paths.join(own_host, paths["_host"].eqNullSafe(own_host["_own_host"])).select("_host", "_path", "_n", "_sum", "_host_n", "_host_sum")
 
     def logit(c):
         held = F.least(F.greatest(c, F.lit(EDGE)), F.lit(1 - EDGE))
         return F.log(held / (1 - held))
 
-    own = (F.col("evidence") / UNIT).alias("document_quality")
+    def posteriors(own, one):
+        """Host's and path's posteriors without evidence `own` of `one` documents."""
+        host = (F.col("_host_sum") / UNIT - own + k_host * prior) / (F.col("_host_n") - one + k_host)
+        return host, (F.col("_sum") / UNIT - own + k_path * host) / (F.col("_n") - one + k_path)
+
+    own = F.col("evidence") / UNIT
     joined = scored.join(sites, scored[host].eqNullSafe(sites["_host"]) & scored[path].eqNullSafe(sites["_path"]))
-    odds = logit(F.col("evidence") / UNIT) + SITE_WEIGHT * (logit(F.col("path_quality")) - F.lit(float(np.log(prior / (1 - prior)))))
+    odds = logit(own) + SITE_WEIGHT * (logit(posteriors(own, 1)[1]) - F.lit(float(np.log(prior / (1 - prior)))))
     posterior = 1 / (1 + F.exp(-odds))
-    return unmasked(joined, inner, own, "host_quality", "path_quality", posterior.alias("quality"), (posterior >= 0.5).alias("keep"))
+    host_quality, path_quality = posteriors(0, 0)
+    return unmasked(joined, inner, own.alias("document_quality"), host_quality.alias("host_quality"), path_quality.alias("path_quality"), posterior.alias("quality"), (posterior >= 0.5).alias("keep"))
