@@ -115,8 +115,11 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
     ``step_tokens`` ids of each length until their group is full.
 
     A null or empty text is the closing id alone. Rows with a null or repeated key are
-    packed like others, each by itself. Columns other than the key and the text are not
-    read. An empty table gives no rows. Ids of sequences and groups are those of the
+    packed like others, each by itself, and so are repeated rows. A very long text is
+    encoded in one task and cut over as many sequences as it needs; until then its ids are
+    held there, four bytes each. Of remainders of equal length the one read first is placed
+    last. Columns other than the key and the text are not read, whatever they are called.
+    An empty table gives no rows. Ids of sequences and groups are those of the
     task's partition in the high bits and a count in the low 33.
     """
     kind = df.schema[key].dataType

@@ -42,8 +42,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of each document that has any; the others have none to report."""
-    found = passages.repeated(_read(spark, sf_dir, "documents").select("doc_id", "text")).where(F.size("starts") > 0)
+    found = passages.repeated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans, later = passages.merged(F.col("starts")), passages.merged(F.col("later"))
 
     def total(a):
@@ -63,7 +62,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("matches", lambda m: m["phrase"])
+    base = F.filter("matches", lambda m: m["base"])
     places = F.flatten(F.transform(base, lambda m: m["places"]))
 
     def labels(matches):
@@ -99,6 +98,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("samples"), size - 63, F.lit(64))).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("dhash").alias("feature"),
+        F.octet_length("tile").cast("long").alias("tile_bytes"), F.sha2("tile", 256).alias("tile_sha256"),
     )
 
 

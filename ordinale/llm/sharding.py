@@ -60,8 +60,9 @@ def shard(df: DataFrame, shards: list[str], keys: tuple[str, ...] = ("doc_id",),
     """`df` with the columns ``slot`` and ``shard``; rows with equal keys share a shard.
 
     The table has `slots` rows, at most MOST_SLOTS, and is broadcast: placement shuffles
-    nothing, however the keys are distributed. A null key is placed as the empty text.
-    An empty table stays empty; columns named slot or shard are replaced.
+    nothing, however the keys are distributed. A null key is placed as the empty text, a
+    very long one by its hash like any other; repeated rows share a shard. An empty table
+    stays empty; columns named slot or shard are replaced, all others are carried along.
     """
     held = df.drop("slot", "shard").withColumn("slot", F.pmod(key_hash(*keys), F.lit(slots)).cast("long"))
     return held.join(F.broadcast(table(df.sparkSession, shards, slots)), "slot").select(*(c for c in df.columns if c not in ("slot", "shard")), "slot", "shard")

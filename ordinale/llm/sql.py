@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licences, sharding
+from .words import words_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,9 +35,9 @@ c AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS isla
 passage AS (SELECT doc_id, min(i) AS first, max(i) + 50 AS last FROM c GROUP BY doc_id, island),
 l AS (SELECT doc_id, unnest(range(i, i + 50)) AS word FROM s WHERE later),
 n AS (SELECT doc_id, count(DISTINCT word) AS n_later FROM l GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, doc_id = min_id AS first_row, n_repeated, coalesce(n_later, 0) AS n_later, passages
-FROM (SELECT doc_id, sum(last - first)::BIGINT AS n_repeated, string_agg(first || '-' || last, ',' ORDER BY first) AS passages FROM passage GROUP BY 1)
-JOIN (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY text) AS min_id FROM d) USING (doc_id) LEFT JOIN n USING (doc_id)
+SELECT doc_id, len(w) AS n_words, doc_id = min_id AS first_row, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_later, 0) AS n_later, coalesce(passages, '') AS passages
+FROM (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY text) AS min_id FROM d)
+LEFT JOIN (SELECT doc_id, sum(last - first)::BIGINT AS n_repeated, string_agg(first || '-' || last, ',' ORDER BY first) AS passages FROM passage GROUP BY 1) USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
@@ -60,23 +61,28 @@ SELECT doc_id, slot, name AS shard FROM (SELECT doc_id, ('0x' || md5(coalesce(do
 
 
 def licences_sql() -> str:
-    most = max(len(t.text.split()) for t in licences.PHRASES + licences.TEXTS)
-    stride = licences.BLOCK - most + 1
-    phrases = ", ".join(f"('{t.label}', string_split('{t.text}', ' '))" for t in licences.PHRASES)
-    texts = ", ".join(f"('{t.label}', list_distinct(string_split('{t.text}', ' ')), {t.threshold})" for t in licences.TEXTS)
+    """Phrases by comparing words at each place; the others in every window that begins with a template's token, where a text has enough of them at all."""
+
+    def quoted(t: licences.Template) -> str:
+        own = ", ".join(f"'{w.decode()}'" for w in words_of(t.text))
+        return f"[{own}]"
+
+    phrases = ", ".join(f"('{t.label}', {quoted(t)}, {str(t.base).lower()})" for t in licences.TEMPLATES if t.phrase)
+    texts = ", ".join(f"('{t.label}', list_distinct({quoted(t)}), {t.threshold}, {licences.window(t)})" for t in licences.TEMPLATES if not t.phrase)
     return f"""
 WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
-phrase(label, p) AS (VALUES {phrases}),
-template(label, t, share) AS (VALUES {texts}),
-place AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p)) AS i FROM d, phrase),
-base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY 1),
-block AS (SELECT doc_id, list_distinct(w[first + 1:first + {licences.BLOCK}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {licences.BLOCK} + {stride}), {stride})) AS first FROM d)),
+phrase(label, p, base) AS (VALUES {phrases}),
+template(label, t, share, size) AS (VALUES {texts}),
+place AS (SELECT doc_id, label, base, unnest(list_filter(range(len(w)), lambda i: w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p)) AS i FROM d, phrase),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place WHERE base GROUP BY 1),
+likely AS (SELECT * FROM d, template WHERE len(list_intersect(list_distinct(w), t)) >= share * len(t) - 1e-9),
+block AS (SELECT *, unnest(list_filter(range(len(w)), lambda i: list_contains(t, w[i + 1]))) AS i FROM likely),
 found AS (
-  SELECT DISTINCT doc_id, label, 1.0::DOUBLE AS s, true AS phrase FROM place
+  SELECT DISTINCT doc_id, label, 1.0::DOUBLE AS s, base FROM place
   UNION ALL
-  SELECT doc_id, label, s, false FROM (SELECT doc_id, label, share, len(list_intersect(b, t))::DOUBLE / len(t) AS s FROM block, template) WHERE s >= share
+  SELECT doc_id, label, s, false FROM (SELECT doc_id, label, share, len(list_intersect(list_distinct(w[i + 1:i + size]), t))::DOUBLE / len(t) AS s FROM block) WHERE s >= share
 ),
-label AS (SELECT doc_id, max(s) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels FROM found GROUP BY 1)
+label AS (SELECT doc_id, max(s) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels FROM found GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN label USING (doc_id)
 """

@@ -84,8 +84,8 @@ def test_decontamination_windows_and_spans(spark, documents, prose, monkeypatch)
     items = [(1, " ".join(item)), (2, "Short question"), (2, "other text of the item"), (None, prose(5, 30)), (3, None), (4, " ".join(item[3:16]))]
     rows = [(1, "so " + " ".join(item[:13]).upper() + "!! end"), (2, " ".join(item[:12])), (3, "a short question, é short-QUESTION"), (4, None), (5, ""), (5, ""), (6, prose(5, 30)), (7, "😀 " + ", ".join(item))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for chars in (contamination.AUTOMATON_CHARS, 50):
-        monkeypatch.setattr(contamination, "AUTOMATON_CHARS", chars)
+    for most in (contamination.AUTOMATON_BYTES, 50):
+        monkeypatch.setattr(contamination, "AUTOMATON_BYTES", most)
         got = {r.doc_id: r for r in contamination.find(documents(rows), bench).collect()}
         assert [list(s) for s in got[1].spans] == [[3, 3 + len(" ".join(item[:13]))]] and got[1].n_hit == 13 and got[1]["items"] == ["1"]
         assert got[2].n_hit == 0 and got[6].n_hit == 0 and got[4].n_words == 0 and got[7]["items"] == ["1", "4"] and got[7].n_hit == 20
@@ -95,6 +95,31 @@ def test_decontamination_windows_and_spans(spark, documents, prose, monkeypatch)
     assert none.agg(F.sum("n_hit")).first()[0] == 0 and contamination.find(documents([]), bench).count() == 0
 
 
+def test_decontamination_by_a_large_benchmark(spark, data, monkeypatch):
+    """Beyond the automaton's limit, joined by code: the same on the whole table, and with items of every length."""
+    monkeypatch.setattr(contamination, "AUTOMATON_BYTES", 10)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/sf0.001/benchmark.parquet").collect()]
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op8_decontamination(spark, f"{data}/sf0.001").collect()}
+    assert got == contamination_brute(docs_of(spark, data), items)
+
+
+@pytest.mark.parametrize("most", [contamination.AUTOMATON_BYTES, 0])
+def test_decontamination_odd(spark, documents, odd, clashing, prose, monkeypatch, most):
+    monkeypatch.setattr(contamination, "AUTOMATON_BYTES", most)
+    df, names = clashing(documents([*odd, (20, prose(5, 40)), (20, prose(5, 40)), (21, "a few"), (22, "x " + prose(6, 5))]))
+    items = [(i, prose(5 + i % 2, 1 + i)) for i in range(20)] + [(30, "one"), (31, "one"), (32, "few words"), (33, ""), (34, None), (35, "the text of a long text of")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = contamination.find(df.withColumn("n_hit", F.lit("old")), bench)
+    assert out.columns == [*df.columns, "n_words", "n_hit", "items", "spans"]
+    rows = out.collect()
+    assert len(rows) == df.count() and all(r[n] == f"own {n}" for r in rows for n in names)
+    for r in rows:
+        want = contamination_brute({0: r.text}, items)[0]
+        assert (r.n_words, r.n_hit, len(r["items"])) == want[:3] and hashlib.sha256(",".join(r["items"]).encode()).hexdigest() == want[3]
+        assert sum(len(plain_words(r.text[a:b])) for a, b in r.spans) == r.n_hit
+    assert contamination.find(documents([]), bench).count() == 0
+
+
 def test_decontamination_by_items_without_an_id(spark, tmp_path, documents, prose):
     import corpus_pipeline
 
@@ -108,21 +133,24 @@ def test_decontamination_by_items_without_an_id(spark, tmp_path, documents, pros
 # licences
 
 
-def licences_brute(text):
+def licences_brute(text, templates=None):
+    """Every window, one word apart, of twice a template's words or 96."""
     w = plain_words(text)
-    places, labels = [], set()
-    for t in licences.PHRASES:
-        own = t.text.split()
-        found = [i for i in range(len(w) - len(own) + 1) if w[i : i + len(own)] == own]
-        places += found
-        labels |= {t.label} if found else set()
-    most = max(len(t.text.split()) for t in licences.PHRASES + licences.TEXTS)
-    more, score = set(labels), 1.0 if labels else 0.0
-    stride = licences.BLOCK - most + 1
-    for t in licences.TEXTS:
-        own = set(t.text.split())
-        for at in range(0, max(1, len(w) - licences.BLOCK + stride), stride):
-            share = len(own & set(w[at : at + licences.BLOCK])) / len(own)
+    places, labels, more, score = [], set(), set(), 0.0
+    for t in licences.TEMPLATES if templates is None else templates:
+        own = plain_words(t.text)
+        if t.phrase:
+            found = [i for i in range(len(w) - len(own) + 1) if w[i : i + len(own)] == own]
+            if found:
+                more.add(t.label)
+                score = 1.0
+                if t.base:
+                    places += found
+                    labels.add(t.label)
+            continue
+        size, want = max(96, 2 * len(own)), set(own)
+        if len(want & set(w)) / len(want) >= t.threshold:
+            share = max(len(want & set(w[at : at + size])) for at in range(max(1, len(w) - size + 1))) / len(want)
             if share >= t.threshold:
                 more.add(t.label)
                 score = max(score, share)
@@ -147,16 +175,45 @@ def test_licences_planted(spark, tmp_path, documents, prose, odd):
     assert licences.scan(documents([])).count() == 0
 
 
+def test_licences_carry_clashing_names(documents, odd, clashing):
+    df, names = clashing(documents(odd))
+    rows = licences.scan(df.withColumn("matches", F.lit("old"))).collect()
+    assert len(rows) == len(odd) and all(r[n] == f"own {n}" for r in rows for n in names) and all(r.matches == [] for r in rows)
+
+
 def labels_of(frame):
     return {r.doc_id: {m.label for m in r.matches} for r in frame.collect()}
 
 
 def test_licence_notices_of_the_gpl(spark, documents, prose):
     notice = "This work is licensed under the GNU General Public License, version 3."
-    got = labels_of(licences.scan(documents([(1, notice), (2, prose(1, 300) + " " + notice + " " + prose(2, 300)), (3, "A general public notice on GNU and a licence"), (4, licences.TEXTS[3].text)])))
+    got = labels_of(licences.scan(documents([(1, notice), (2, prose(1, 300) + " " + notice + " " + prose(2, 300)), (3, "A general public notice on GNU and a licence; public GNU license, general"), (4, licences.TEXTS[3].text)])))
     assert got == {1: {"gpl"}, 2: {"gpl"}, 3: set(), 4: {"gpl"}}
 
 
+def test_words_of_short_notices_in_another_order_are_no_notice(spark, documents):
+    rows = ["reserved seats for all who have rights", "creative commons attribution license", "Creative Commons Attribution-NonCommercial 4.0", "ShareAlike is no part of creative commons attribution", "All rights reserved."]
+    got = labels_of(licences.scan(documents(list(enumerate(rows)))))
+    assert got == {0: set(), 1: set(), 2: set(), 3: set(), 4: {"all-rights-reserved"}}
+
+
+def test_whole_licence_texts(spark, documents, prose):
+    """Texts of hundreds of words are templates: found whole, with words left out or put in, and not by a half."""
+    rows, want = [], {}
+    for k, t in enumerate(x for x in licences.TEXTS if len(plain_words(x.text)) > 48):
+        w = plain_words(t.text)
+        fewer, halved = [x for i, x in enumerate(w) if i % 12 != 5], w[: len(w) // 2]
+        spread = " ".join(f"{x} {prose(i, 1)}" if i % 3 == 0 else x for i, x in enumerate(w))
+        rows += [(10 * k, prose(k, 300) + " " + t.text.upper() + " " + prose(k + 1, 300)), (10 * k + 1, " ".join(fewer)), (10 * k + 2, prose(k, 100) + " " + spread), (10 * k + 3, prose(k, 80) + " " + " ".join(halved))]
+    long = (licences.Template("long", prose(77, 4000)), licences.Template("short", prose(78, 60)))
+    out = licences.scan(documents(rows + [(1000, prose(5, 900) + " " + prose(77, 3600) + " " + prose(6, 900)), (1001, prose(77, 1500)), (1002, prose(78, 55))]), templates=licences.TEMPLATES + long)
+    got = {r.doc_id: (r.n_words, ",".join(sorted({m.label for m in r.matches})), max((m.score for m in r.matches), default=0.0)) for r in out.collect()}
+    for i, t in [*rows, (1000, prose(5, 900) + " " + prose(77, 3600) + " " + prose(6, 900)), (1001, prose(77, 1500)), (1002, prose(78, 55))]:
+        want[i] = licences_brute(t, licences.TEMPLATES + long)
+        assert got[i] == (want[i][0], want[i][5], want[i][6]), i
+    assert got[1000][1] == "long" and got[1001][1] == "" and got[1002][1] == "short" and all(got[10 * k][1] and got[10 * k + 1][1] for k in range(5))
+
+
 def test_licence_notices_of_creative_commons(spark, documents):
     kinds = {"Attribution": set(), "Attribution-NonCommercial": set(), "Attribution-NoDerivatives": set(), "Attribution-ShareAlike": {"cc-by-sa"}, "Attribution-Share Alike": {"cc-by-sa"}}
     rows = [(f"Creative Commons {kind} 4.0 International{end}", want) for kind, want in kinds.items() for end in (" License", "")]
@@ -170,11 +227,12 @@ def test_licences_in_every_window(spark, documents, prose):
         spread = [" ".join(f"{x} {prose(n, 1)}" for n, x in enumerate(t.text.split())), " ".join(x + f" {prose(n, 4)}" * (n % 2) for n, x in enumerate(t.text.split()))]
         rows += [(f"{k} {i} {at}", prose(at, at) + f" {s} " + prose(at + 1, 100)) for i, s in enumerate(spread) for at in range(73)]
     rows += [("twice", prose(1, 60) + " " + licences.TEXTS[0].text + " " + prose(2, 80) + " " + licences.TEXTS[0].text), ("halves", " ".join(licences.TEXTS[2].text.split()[:10]) + " " + prose(3, 90) + " " + " ".join(licences.TEXTS[2].text.split()[10:]))]
-    got = {i: {m.template: m.score for m in r.matches if not m.phrase} for (i, _), r in zip(rows, licences.scan(documents([(i, t) for i, (_, t) in enumerate(rows)])).orderBy("doc_id").collect(), strict=True)}
+    four = licences.TEXTS[:4]
+    got = {i: {m.template: m.score for m in r.matches if not m.phrase} for (i, _), r in zip(rows, licences.scan(documents([(i, t) for i, (_, t) in enumerate(rows)]), templates=licences.PHRASES + four).orderBy("doc_id").collect(), strict=True)}
     want = {}
     for i, t in rows:
         w, best = plain_words(t), {}
-        for k, x in enumerate(licences.TEXTS):
+        for k, x in enumerate(four):
             own = set(x.text.split())
             share = max(len(own & set(w[at : at + licences.BLOCK])) / len(own) for at in range(max(1, len(w) - licences.BLOCK + 1)))
             if share >= x.threshold:
@@ -199,6 +257,116 @@ def test_exceptions_blank_their_terms():
     assert n == 2 and w == pytest.approx(9 / np.log2(2 + 5))
 
 
+def test_exceptions_in_time_that_grows_with_the_text():
+    import time
+
+    a = toxicity.Model({" scum": 5.0, " trash ": 4.0}, ("pond scum", "trash can"), 1.0, 0.0).automaton()
+    text = toxicity.fold("pond scum trash " * 100_000)
+    begin = time.perf_counter()
+    assert toxicity.weigh(text, a)[0] == 100_000 and time.perf_counter() - begin < 5
+
+
+def test_exceptions_against_all_pairs():
+    """Terms and phrases that overlap in every way, by comparing each with each."""
+    import random
+
+    rng = random.Random(4)
+    model = toxicity.Model({" ab": 1.0, " ab ": 2.0, " b ab ": 4.0, " a b": 8.0, " aab": 16.0}, ("ab ab", "b ab a", "a b ab b", "aab a"), 1.0, 0.0)
+    automaton = model.automaton()
+    for _ in range(300):
+        text = toxicity.fold(" ".join(rng.choice(["a", "b", "ab", "aab", "abb"]) for _ in range(rng.randint(1, 30))))
+        blank = [(i, i + len(p)) for x in model.exceptions for p in [f" {x} "] for i in range(len(text)) if text.startswith(p, i)]
+        found = [w for t, w in model.lexicon.items() for i in range(len(text)) if text.startswith(t, i) and not any(b <= i and i + len(t) <= e for b, e in blank)]
+        assert toxicity.weigh(text, automaton) == (len(found), pytest.approx(sum(found) / np.log2(2 + text.count(" ")) if found else 0.0))
+
+
+def test_toxicity_terms_of_long_words(spark, documents, prose):
+    """A word of any length becomes a term; so do long beginnings."""
+    word = "unbelievablylongtoxicwordofmanyletters"
+    assert f" {word} " in toxicity.terms(f" {word} ") and {" " + word[:n] for n in (3, 10, 15, 22, 33)} <= toxicity.terms(f" {word} ") and sum(map(len, toxicity.terms(" " + "x" * 100_000 + " "))) < 500_000
+    rows = [(i, prose(i, 40) + (f" {word}" if i % 4 == 0 else "")) for i in range(200)]
+    model = toxicity.learn(documents(rows), spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int"))
+    assert list(model.lexicon) == [f" {word} "]
+
+
+def plain_toxicity(texts, labels):
+    """Lexicon and scores by counting in plain Python, apart from the operator: all terms of all labelled texts, their evidence, families and the logistic fit."""
+    import math
+
+    look = str.maketrans({**toxicity.HOMOGLYPHS, **toxicity.SIGNS})
+
+    def folded(text):
+        text = text or ""
+        if any(c in toxicity.HOMOGLYPHS or "\u0391" <= c <= "\u03c9" or "\u0410" <= c <= "\u044f" for c in text):
+            text = text.lower()
+        return [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text.translate(look)))]
+
+    def own_terms(ws):
+        out = set()
+        for w in set(ws):
+            sizes, n = [], 3
+            while n <= len(w):
+                sizes.append(n)
+                n = n + 1 if n < 10 else n + n // 2
+            out |= {" " + w[:n] for n in sizes} | {f" {w} "}
+        return out
+
+    words_by = {i: folded(t) for i, t in texts.items()}
+    sample = {i: y for i, y in labels.items() if y in (0, 1) and i in texts and zlib.crc32(str(i).encode()) % 4 != 2}
+    both = sum(sample.values()), len(sample) - sum(sample.values())
+    count = defaultdict(lambda: [0, 0])
+    for i, y in sample.items():
+        for t in own_terms(words_by[i]):
+            count[t][1 - y] += 1
+    share = both[0] / sum(both)
+
+    def evidence(a, b, p):
+        return sum(k * math.log(k / (a + b) / q) for k, q in ((a, p), (b, 1 - p)) if k)
+
+    tested = {t: c for t, c in count.items() if sum(c) >= 3}
+    good = {t: c for t, c in tested.items() if c[0] >= 3 and evidence(*c, share) >= 8 and math.log((c[0] + 0.5) / (both[0] + 1)) - math.log((c[1] + 0.5) / (both[1] + 1)) >= math.log(20)}
+    assert all(c[0] >= both[0] // 100 for c in good.values()), "the rule for rare terms of large samples has a test of its own"
+    lexicon = {}
+    for t in good:
+        if not any(len(s) >= 4 and len(s) < len(t) and t.startswith(s) for s in good):
+            near = [s for s in good if s.startswith(t) and good[s][0] >= 0.95 * good[t][0]]
+            best = max(near, key=len)
+            lexicon[best] = math.log((good[best][0] + 0.5) / (both[0] + 1)) - math.log((good[best][1] + 0.5) / (both[1] + 1))
+
+    def weight(ws):
+        text = " " + " ".join(ws) + " " if ws else ""
+        blank = [(m.start(), m.start() + len(x) + 2) for x in toxicity.EXCEPTIONS for m in re.finditer(f"(?= {x} )", text)]
+        total = 0.0
+        for t, w in lexicon.items():
+            at = text.find(t)
+            while at >= 0:
+                total += 0 if any(b <= at and at + len(t) <= e for b, e in blank) else w
+                at = text.find(t, at + 1)
+        return total / math.log2(2 + text.count(" ")) if text else 0.0
+
+    weights = {i: weight(w) for i, w in words_by.items()}
+    x, y = np.array([weights[i] for i in sample]), np.array([float(v) for v in sample.values()])
+    a = b = 0.0
+    for _ in range(200):  # Newton's steps for slope and intercept
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = p * (1 - p)
+        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
+        da, db = np.linalg.solve(h, [((p - y) * x).sum() + 0.1 * a, (p - y).sum() + 1e-6 * b])
+        a, b = a - da, b - db
+    return {i: 1 / (1 + math.exp(-(a * w + b))) for i, w in weights.items()}
+
+
+def test_toxicity_on_the_whole_table(spark, data):
+    """The query's scores against those of plain counting, at sf0.01, as fewer labels teach no terms."""
+    d = f"{data}/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    want = plain_toxicity(texts, labels)
+    got = {r.doc_id: r.score for r in queries.op9_toxicity(spark, d).collect()}
+    assert got.keys() == want.keys() and sum(s >= 0.3 for s in want.values()) > 20
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
 def auc(pairs):
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
@@ -292,6 +460,86 @@ def test_quality_shrinks_sparse_sites(spark):
     assert 0.2 < got["a", "y"].path_quality < got["a", "y"].host_quality
 
 
+def plain_quality(rows, labels):
+    """The query apart from the operator: features of each text counted in plain Python, the classifier by Newton's steps, posteriors from lists of other documents."""
+    import math
+
+    def features(text):
+        text = text or ""
+        ws = plain_words(text)
+        if not ws:
+            return [0.0] * 10
+        raw = text.encode()
+        letters = max(1, sum(b >= 128 or chr(b).isalpha() for b in raw))
+        lines = text.split("\n")
+        return [
+            sum(65 <= b <= 90 for b in raw) / letters, sum(chr(b) in "#$%&*<>{}[]\\^_~=+@|/" for b in raw if b < 128) / len(raw), sum(48 <= b <= 57 for b in raw) / len(raw), text.count("|") / len(ws), text.count("!") / len(ws),
+            sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / len(ws), len(set(ws)) / len(ws) ** 0.8, math.log1p(len(ws)) / 5, letters / len(ws) / 10, 1 - len(set(lines)) / len(lines) if len(lines) > 2 else 0.0,
+        ]
+
+    x = {i: np.array(features(t)) for i, t, _, _ in rows}
+    own = [i for i in x if labels.get(i) in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2]
+    held = np.array([x[i] for i in own])
+    middle, scale = held.mean(axis=0), np.maximum(held.std(axis=0), 1e-3)
+
+    def design(v):
+        z = (v - middle) / scale
+        return np.concatenate((z, np.minimum(z * z, 9), np.ones((*z.shape[:-1], 1))), axis=-1)
+
+    d, y = design(held), np.array([float(labels[i]) for i in own])
+    w, ridge = np.zeros(d.shape[1]), np.array([1.0] * (d.shape[1] - 1) + [1e-6])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        w = w - np.linalg.solve(d.T @ (d * (p * (1 - p))[:, None]) + np.diag(ridge), d.T @ (p - y) + ridge * w)
+    e = {i: round(1e6 / (1 + math.exp(-max(-30, min(30, float(design(v) @ w)))))) / 1e6 for i, v in x.items()}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, _, h, p in rows:
+        hosts[h].append(i)
+        paths[h, p].append(i)
+    prior = sum(e.values()) / len(e)
+
+    def strength(groups):
+        n = np.array([len(g) for g in groups], float)
+        spread = sum(len(g) * (np.mean([e[i] for i in g]) - prior) ** 2 for g in groups)
+        between = max((spread - (len(groups) - 1) * prior * (1 - prior)) / (n.sum() - (n**2).sum() / n.sum()), 0)
+        return min(max(prior * (1 - prior) / between - 1 if between else 1e6, 1), 1e6)
+
+    k_host, k_path = strength(list(hosts.values())), strength(list(paths.values()))
+    logit = lambda v: math.log(min(max(v, 1e-4), 1 - 1e-4) / (1 - min(max(v, 1e-4), 1 - 1e-4)))
+    out = {}
+    for i, _, h, p in rows:
+        others = [e[j] for j in hosts[h] if j != i], [e[j] for j in paths[h, p] if j != i]
+        host = (sum(others[0]) + k_host * prior) / (len(others[0]) + k_host)
+        path = (sum(others[1]) + k_path * host) / (len(others[1]) + k_path)
+        out[i] = e[i], 1 / (1 + math.exp(-(logit(e[i]) + quality.SITE_WEIGHT * (logit(path) - logit(prior)))))
+    return out
+
+
+def test_quality_on_the_whole_table(spark, data):
+    d = f"{data}/sf0.01"
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    want = plain_quality(rows, {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()})
+    got = {r.doc_id: r for r in queries.op1_quality(spark, d).collect()}
+    assert got.keys() == want.keys()
+    for i, (own, quality_) in want.items():
+        assert got[i].document_quality == pytest.approx(own, abs=2e-5) and got[i].quality == pytest.approx(quality_, abs=1e-3), i
+        assert abs(quality_ - 0.5) < 1e-3 or got[i].keep == (quality_ >= 0.5)
+
+
+def test_quality_counts_no_document_twice(spark, documents, prose):
+    """A document alone on its path and host keeps its own odds; on a site with others only those move it."""
+    rows = [(i, prose(i, 30)) for i in range(9)]
+    df = documents(rows).withColumn("source", F.when(F.col("doc_id") == 0, "alone").otherwise("many"))
+    got = {r.doc_id: r for r in quality.classify(df, None).collect()}
+    assert all(r.document_quality == 0.5 and r.quality == pytest.approx(0.5) for r in got.values())
+    held, quality.evidence = quality.evidence, lambda docs, model, text: docs.withColumn("evidence", F.when(F.length(text) % 2 == 0, 900_000).otherwise(200_000).cast("long")).drop(text)
+    try:
+        got = {r.doc_id: r for r in quality.classify(df, None).collect()}
+    finally:
+        quality.evidence = held
+    assert got[0].quality == pytest.approx(got[0].document_quality, abs=0.05) and got[0].host_quality != pytest.approx(0.5, abs=1e-3)
+
+
 def test_quality_odd(spark, documents, odd, clashing):
     df, _ = clashing(documents(odd).withColumn("source", F.when(F.col("doc_id") > 3, F.col("source"))))
     out = quality.classify(df, quality.learn(df, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")))
@@ -357,9 +605,14 @@ def test_packing_step_groups_are_full(spark, documents, prose):
     assert any(len(set(sizes)) == 1 for sizes in groups.values())
 
 
-def test_packing_repeated_and_null_keys(spark, documents, odd):
-    rows = packing.pack(documents(odd), queries.tokenizer_path()).collect()
-    assert sum(r.start == 0 for r in rows) == len(odd)
+def test_packing_repeated_and_null_keys(spark, documents, odd, clashing):
+    df, names = clashing(documents(odd))
+    for source in (documents(odd), df.withColumns({"window": F.lit("own"), "start": F.lit("own"), "sequence_id": F.lit("own")})):
+        rows = packing.pack(source, queries.tokenizer_path()).collect()
+        assert sum(r.start == 0 for r in rows) == len(odd)
+        assert {r.doc_tokens for r in rows if r.doc_id in (1, 2)} == {1} and sum(r.doc_id is None and r.start == 0 for r in rows) == 2
+        long = sorted((r for r in rows if r.doc_id == 5), key=lambda r: r.start)
+        assert len(long) > 30 and [r.start for r in long][1:] == list(np.cumsum([r.length for r in long]))[:-1]
 
 
 @pytest.mark.parametrize("text", ["don't we'll they've I'm he'd 'street 're''s x's's '5 '' ''s l'll", "", "  ", " <|endoftext|> ok", "a1b22 c³½ ñ×ª", "İstanbul Σας", "' s", "o'", "'", "'ll\n'l l", "Ünïcödé aaa aaaaaaa", "日本語 text", "e\u0301 combining", "x" * 5000])
