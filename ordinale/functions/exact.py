@@ -126,8 +126,10 @@ def joined_halves(high: Column, low: Column) -> Column:
     return F.shiftleft(high + F.shiftright(low, 32), 32).bitwiseOR(_low(low))
 
 
-def sum_i64(x: Column) -> Column:
-    """The wrapping sum; nulls are skipped and nothing sums to 0."""
+def sum_i64(x: Column, most: int | None = None) -> Column:
+    """The wrapping sum; nulls are skipped and nothing sums to 0. One plain sum where `most`, a bound of the magnitude of any partial sum, is known to fit."""
+    if most is not None and most < 2**63:
+        return F.coalesce(F.sum(x), F.lit(0).cast("bigint"))
     return joined(*(F.sum(c) for c in limbs(x)))
 
 

@@ -19,12 +19,17 @@ def over(verb: str, x: Value) -> Atom:
         raise KindError(f"{verb}/ has no form for this")
     if isinstance(x, Atom):
         return x
-    total = exact.sum_i64(x.column) if x.kind is Kind.I64 else exact.sum_f64(exact.to_f64(x.column))
+    most = None if x.bound is None or x.frame.length is None else x.bound * x.frame.length
+    total = exact.sum_i64(x.column, most) if x.kind is Kind.I64 else exact.sum_f64(exact.to_f64(x.column))
     return Atom(x.kind, lazy=x.frame.df.agg(total).scalar())
 
 
 def scan(verb: str, x: Value) -> Value:
-    """Running sums; null integers count as 0."""
+    """Running sums; null integers count as 0.
+
+    Floats are added in another order where a frame is large than where it is small, so the
+    last bits of their sums can differ between sizes; sums of integers are exact throughout.
+    """
     if verb != "+" or not isinstance(x, Atom | Vec) or x.kind not in NUMERIC:
         raise KindError(f"{verb}\\ has no form for this")
     if isinstance(x, Atom):

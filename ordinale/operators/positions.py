@@ -3,16 +3,23 @@
 A window without partitions runs in one task. Where rows have integer positions, they are
 cut into buckets of BUCKET positions; ranks or sums are taken within the buckets, and the
 buckets' totals, one row each, are summed up and joined back. Small frames take the plain
-window, which is faster for them.
+window, which is faster for them. Running sums of a large frame whose partitions hold
+ranges of positions, as scans of ranges and of files in order do, shuffle nothing: one job
+sums the partitions, and each then adds up its own rows from the sum of those before it.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact
+from ..kinds import wrap
 from .values import POS, fresh
 
 #: Positions in a bucket.
@@ -47,14 +54,16 @@ def numbered(df: DataFrame, order: list[Column], rows: int | None = None) -> Dat
     """`df` with ``pos`` by the given total order.
 
     Large frames are range-partitioned and sorted; each partition's rows are counted and
-    numbered from the sum of those before. The sorted partitions are persisted, so both
-    uses see the same ones.
+    numbered from the sum of those before. Both uses must see the same partitions: they are
+    written to the session's checkpoint folder, where a lost executor loses none of them,
+    and only where none is set (as in local sessions) persisted.
     """
     others = [c for c in df.columns if c != POS]
     if rows is not None and rows <= SMALL:
         return df.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint").alias(POS), *others)
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    held = ordered.select(*others, F.monotonically_increasing_id().alias("_i")).persist(StorageLevel.MEMORY_AND_DISK)
+    held = ordered.select(*others, F.monotonically_increasing_id().alias("_i"))
+    held = held.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else held.persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_i", 33)
     totals = held.groupBy(part.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = totals.select("_b", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_o"))
@@ -76,6 +85,8 @@ def running_sum(df: DataFrame, column: Column, integer: bool, name: str, rows: i
         upto = Window.orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
         summed = cut.select(POS, *(F.sum(n).over(upto).alias(n) for n in parts))
         return summed.select(POS, finish([F.col(n) for n in parts]).alias(name))
+    if rows is not None and (starts := _partition_sums(cut, finish([F.sum(n) for n in parts]))) is not None:
+        return _summed_in_place(df.select(POS, column.alias(name)), name, integer, starts)
     cut = cut.withColumn("_b", _bucket(bucket))
     totals = cut.groupBy("_b").agg(finish([F.sum(n) for n in parts]).alias("_t"))
     if integer:  # totals are wrapped already; limbs add up any number of them
@@ -90,6 +101,47 @@ def running_sum(df: DataFrame, column: Column, integer: bool, name: str, rows: i
     return both.select(POS, (exact.add_i64(inner, F.col("_o")) if integer else inner + F.col("_o")).alias(name))
 
 
+def _partition_sums(cut: DataFrame, total: Column) -> dict[int, tuple[int, int, object]] | None:
+    """By partition: its first position, its rows and the sum of all before it. None unless each partition holds a range of positions, and the same in every job."""
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Scan ExistingRDD" in plan:  # only scans of ranges and files deal rows out alike each time
+        return None
+    rows = cut.groupBy(F.spark_partition_id()).agg(F.min(POS).cast("bigint"), F.max(POS).cast("bigint"), F.count(F.lit(1)), total).collect()  # a row a partition
+    rows.sort(key=lambda r: r[1])
+    if any(last - first + 1 != n for _, first, last, n, _ in rows) or any(b[1] != a[2] + 1 for a, b in zip(rows, rows[1:], strict=False)) or rows and rows[0][1] != 0:
+        return None
+    out, before = {}, 0
+    for part, first, _, n, own in rows:
+        out[part] = first, n, before
+        before = wrap(before + own) if isinstance(own, int) else before + own
+    return out
+
+
+def _summed_in_place(df: DataFrame, name: str, integer: bool, starts: dict[int, tuple[int, int, object]]) -> DataFrame:
+    """Running sums of a frame whose partitions were summed, partition by partition."""
+    kind = np.int64 if integer else np.float64
+    shared = df.sparkSession.sparkContext.broadcast(starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        at, left, held = shared.value.get(part, (0, 0, 0))
+        held = np.array([held], kind)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, values = batch.column(0).to_numpy(), batch.column(1)
+            if pos[0] != at or pos[-1] != at + len(pos) - 1 or len(pos) > left:
+                raise RuntimeError("the partitions are not those that were summed")
+            values = (values.fill_null(0) if values.null_count else values).to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore", invalid="ignore"):
+                sums = np.cumsum(np.concatenate((held, values.astype(kind, copy=False))))[1:]
+            held, at, left = sums[-1:], at + len(pos), left - len(pos)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], [POS, name])
+
+    ordered = df.select(F.col(POS).cast("bigint").alias(POS), F.col(name).cast("bigint" if integer else "double").alias(name)).sortWithinPartitions(POS)
+    return ordered.mapInArrow(run, f"{POS} long, {name} {'long' if integer else 'double'}")
+
+
 def previous(df: DataFrame, column: Column, name: str, before: str, rows: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(pos, name, before): each value and the one before it, null at the first position."""
     cut = df.select(POS, column.alias(name))

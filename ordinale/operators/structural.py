@@ -22,7 +22,7 @@ def til(spark: SparkSession, n: Value) -> Vec:
     count = n.get(spark)
     if count is None or count < 0:
         raise ShapeError("! needs a length of 0 or more")
-    return Vec(Kind.I64, Frame(spark.range(count).withColumnRenamed("id", POS), count), F.col(POS))
+    return Vec(Kind.I64, Frame(spark.range(count).withColumnRenamed("id", POS), count), F.col(POS), bound=count)
 
 
 def as_vector(spark: SparkSession, x: Value) -> Vec:
@@ -180,7 +180,7 @@ def sort(x: Value) -> Value:
     if isinstance(x, Atom):
         return x
     v = gathered(x)
-    order = [F.asc_nulls_first(v.column)] if v.kind is Kind.I64 else [v.column.asc(), v.column.cast("string").asc()]
+    order = [F.asc_nulls_first(v.column)] if v.kind is Kind.I64 else [v.column.asc(), F.when(v.column == 0, F.atan2(v.column, F.lit(-1.0))).asc()]  # the sign decides only between zeros
     return Vec(v.kind, Frame(numbered(v.frame.df, order, v.frame.length), v.frame.length), v.column)
 
 

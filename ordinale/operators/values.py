@@ -90,9 +90,12 @@ class Atom:
 
 @dataclass
 class Vec:
+    """`bound`: no value's magnitude is larger, where that is known without a job."""
+
     kind: Kind
     frame: Frame
     column: Column
+    bound: int | None = None
 
     def size(self) -> int:
         return self.frame.size()

@@ -1,6 +1,7 @@
 """Positions, exact arithmetic and calendar functions, also where frames are large."""
 
 import math
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -70,6 +71,33 @@ def test_running_sum(frame, rows):
     assert [r[1] for r in got.orderBy("pos").collect()] == want
 
 
+@pytest.mark.parametrize("integer", [True, False])
+def test_running_sum_in_place(spark, frame, monkeypatch, integer, tmp_path):
+    """Large frames whose partitions hold ranges of positions are summed without a shuffle; others by buckets, with the same result."""
+    monkeypatch.setattr(positions, "SMALL", 10)
+    df = frame.withColumn("v", F.when(F.col("pos") % 11 != 3, F.col("v")) if integer else F.col("v") / 3.0)
+    want, total = [], 0 if integer else 0.0
+    for _, v in df.orderBy("pos").select("pos", "v").collect():
+        total = wrap(total + (v or 0)) if integer else total + v
+        want.append(total)
+    df.repartitionByRange(5, "pos").sortWithinPartitions(F.desc("pos")).write.parquet(str(tmp_path / "t"))
+    backwards = spark.read.parquet(str(tmp_path / "t"))
+    mixed = df.repartition(4, "w")
+    for source, shuffled in ((df, False), (backwards, False), (mixed, True), (df.where("pos < 1000"), False)):
+        out = positions.running_sum(source, F.col("v"), integer, "s", 1000, bucket=64)
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == shuffled
+        assert [r[1] for r in out.orderBy("pos").collect()] == (want if integer else pytest.approx(want))
+
+
+def test_sums_of_ranges_are_one_plain_sum(spark):
+    from ordinale.plans.session import Session
+
+    def sums(source):
+        return len(set(re.findall(r"sum\([^)]*#[^)]*", Session(spark).df(source)._jdf.queryExecution().optimizedPlan().toString())))
+
+    assert sums("+/!1000") == 1 and sums("+/!5000000000") == 3  # there a plain one could overflow
+
+
 @pytest.mark.parametrize("rows", [None, 1000])
 def test_renumbered(frame, rows):
     got = positions.renumbered(frame.where("w = 3"), rows, bucket=64)
