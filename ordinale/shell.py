@@ -9,8 +9,10 @@ with a slash are comments. Ctrl-C cancels the running statement and keeps the se
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import itertools
+import os
 import sys
 import threading
 import time
@@ -27,14 +29,18 @@ HELP = """\\t expr   evaluate and show the time taken
 \\p [0|1]  show or set whether shuffles are parallel
 \\h \\?     this text
 \\\\ :q     leave"""
+#: Lines of history that are kept.
+HISTORY = 10_000
 _tags = itertools.count()
 
 
 class Progress:
-    """Tasks done so far of the running statement, on one line that is written again every so often."""
+    """Tasks done so far of the running statement, its seconds and tasks a second, on one line that is written again every so often."""
 
     def __init__(self, spark: SparkSession, out: TextIO, every: float = 0.5):
         self.tracker, self.out, self.every, self.stop = spark.sparkContext.statusTracker(), out, every, threading.Event()
+        self.begin, self.seen, self.rate = time.perf_counter(), {}, 0.0
+        self.last = self.begin, 0
 
     def line(self) -> str | None:
         done = total = 0
@@ -42,7 +48,14 @@ class Progress:
             info = self.tracker.getStageInfo(stage)
             if info is not None:
                 done, total = done + info.numCompletedTasks, total + info.numTasks
-        return f"{done} of {total} tasks" if total else None
+                self.seen[stage] = info.numCompletedTasks
+        if not total:
+            return None
+        now, all_done = time.perf_counter(), sum(self.seen.values())
+        (before, had), self.last = self.last, (now, all_done)
+        if now > before:  # smoothed, as tasks end in bursts
+            self.rate += 0.3 * ((all_done - had) / (now - before) - self.rate)
+        return f"{done} of {total} tasks  {now - self.begin:.1f} s  {self.rate:.1f} tasks/s  [^C] cancels"
 
     def __enter__(self) -> Progress:
         def run() -> None:
@@ -122,24 +135,69 @@ class Shell:
                 return
 
     def interact(self) -> None:
+        held: list[str] = []
         while True:
             try:
-                text = input("  ")
+                held.append(input("  " if not held else "   "))
             except EOFError:
                 return
             except KeyboardInterrupt:
+                held.clear()
                 continue
+            text = "\n".join(held)
+            if open_brackets(text):
+                continue
+            held.clear()
             if not self.line(text):
                 return
 
+    def complete(self, text: str, at: int) -> str | None:
+        """The name or command number `at` that begins with `text`."""
+        fits = [n for n in (*sorted(self.session.names), "\\t", "\\v", "\\p", "\\h", "\\\\") if n.startswith(text)]
+        return fits[at] if at < len(fits) else None
+
+
+def open_brackets(text: str) -> bool:
+    """Whether a bracket or a string is still open, so that the statement goes on in the next line."""
+    depth, quoted, skip = 0, False, False
+    for c in text:
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        else:
+            depth += (c in "([{") - (c in ")]}")
+    return depth > 0 or quoted
+
+
+def line_editing(shell: Shell) -> None:
+    """History of HISTORY lines over sessions, and completion of names; without the readline module neither."""
+    with contextlib.suppress(ImportError):
+        import readline
+
+        path = os.path.expanduser(os.environ.get("ORDINALE_HISTORY", "~/.ordinale_history"))
+        with contextlib.suppress(OSError):
+            readline.read_history_file(path)
+        readline.set_history_length(HISTORY)
+        readline.set_completer(shell.complete)
+        readline.parse_and_bind("tab: complete")
+
+        def keep() -> None:
+            with contextlib.suppress(OSError):
+                readline.write_history_file(path)
+
+        atexit.register(keep)
+
 
 def main() -> None:
     spark = SparkSession.builder.appName("ordinale").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     if sys.stdin.isatty():
-        with contextlib.suppress(ImportError):
-            import readline  # noqa: F401  line editing and history
-        Shell(spark, progress=True).interact()
+        shell = Shell(spark, progress=True)
+        line_editing(shell)
+        shell.interact()
     else:
         Shell(spark).pipe(sys.stdin)
 

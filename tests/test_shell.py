@@ -47,6 +47,30 @@ def test_commands(spark):
     assert lines[-1] != "1"
 
 
+def test_progress_line(spark):
+    from types import SimpleNamespace
+
+    from ordinale.shell import Progress
+
+    shown = Progress(spark, io.StringIO())
+    stages = {1: (3, 10), 2: (0, 4)}
+    shown.tracker = SimpleNamespace(getActiveStageIds=lambda: list(stages), getStageInfo=lambda k: SimpleNamespace(numCompletedTasks=stages[k][0], numTasks=stages[k][1]))
+    assert shown.line().startswith("3 of 14 tasks  0.0 s  ") and "tasks/s" in shown.line()
+    stages.clear()
+    assert shown.line() is None
+
+
+def test_open_brackets_and_completion(spark):
+    from ordinale.shell import open_brackets
+
+    assert all(map(open_brackets, ["(1;2", "f: {x", '"ab', "$[1;2;(3", '"a\\"']))
+    assert not any(map(open_brackets, ["(1;2)", "1 2 3", ")", '"(["', '"a\\""']))
+    shell = Shell(spark, io.StringIO(), io.StringIO(), 80)
+    shell.line("alpha: 1")
+    shell.line("alps: 2")
+    assert [shell.complete("al", i) for i in range(3)] == ["alpha", "alps", None] and shell.complete("\\t", 0) == "\\t"
+
+
 def test_interrupting_a_tag_stops_its_jobs_soon(spark):
     """What Ctrl-C does: the running jobs of one statement end, the session lives on."""
     failed = []
