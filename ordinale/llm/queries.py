@@ -42,13 +42,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with its repeated passages; `repeats` tells those that have any."""
     found = passages.repeated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans, later = passages.merged(F.col("starts")), passages.merged(F.col("later"))
 
     def total(a):
         return F.aggregate(a, F.lit(0).cast("long"), lambda n, p: n + p["last"] - p["first"])
 
-    return found.select("doc_id", "n_words", "first_row", total(spans).alias("n_repeated"), total(later).alias("n_later"), F.array_join(F.transform(spans, lambda p: F.concat_ws("-", p["first"], p["last"])), ",").alias("passages"))
+    return found.select("doc_id", (F.size("starts") > 0).alias("repeats"), "n_words", "first_row", total(spans).alias("n_repeated"), total(later).alias("n_later"), F.array_join(F.transform(spans, lambda p: F.concat_ws("-", p["first"], p["last"])), ",").alias("passages"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ c AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS isla
 passage AS (SELECT doc_id, min(i) AS first, max(i) + 50 AS last FROM c GROUP BY doc_id, island),
 l AS (SELECT doc_id, unnest(range(i, i + 50)) AS word FROM s WHERE later),
 n AS (SELECT doc_id, count(DISTINCT word) AS n_later FROM l GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, doc_id = min_id AS first_row, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_later, 0) AS n_later, coalesce(passages, '') AS passages
+SELECT doc_id, n_repeated IS NOT NULL AS repeats, len(w) AS n_words, doc_id = min_id AS first_row, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_later, 0) AS n_later, coalesce(passages, '') AS passages
 FROM (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY text) AS min_id FROM d)
 LEFT JOIN (SELECT doc_id, sum(last - first)::BIGINT AS n_repeated, string_agg(first || '-' || last, ',' ORDER BY first) AS passages FROM passage GROUP BY 1) USING (doc_id) LEFT JOIN n USING (doc_id)
 """
