@@ -36,11 +36,11 @@ def blocks(keys: DataFrame, hashed: str, count: int) -> DataFrame:
 def marked(df: DataFrame, h: Column, keys: DataFrame, hashed: str, name: str) -> DataFrame:
     """`df` with a boolean column: whether the row's hash `h` may be among the keys. It is for all that are, and for about one in a thousand of the others."""
     count = keys.count()
-    table = blocks(keys, hashed, count).select(F.col("block").alias("_block"), *(F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS)))
-    near = df.withColumn("_h", h).join(F.broadcast(table), F.col("_h").bitwiseAND(F.lit(number(count) - 1)) == F.col("_block"), "left")
+    table = blocks(keys, hashed, count).select(F.col("block").alias("_sieve_block"), *(F.col(f"w{i}").alias(f"_sieve_w{i}") for i in range(WORDS)))
+    near = df.withColumn("_sieve_h", h).join(F.broadcast(table), F.col("_sieve_h").bitwiseAND(F.lit(number(count) - 1)) == F.col("_sieve_block"), "left")
     passed = F.lit(True)
-    for i, b in enumerate(bits(F.col("_h"))):
-        passed = passed & (F.col(f"_w{i}").bitwiseAND(b) != 0)
+    for i, b in enumerate(bits(F.col("_sieve_h"))):
+        passed = passed & (F.col(f"_sieve_w{i}").bitwiseAND(b) != 0)
     return near.select(*df.columns, F.coalesce(passed, F.lit(False)).alias(name))
 
 

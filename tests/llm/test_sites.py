@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinale.llm import media, queries, sharding, urls
+from ordinale.llm import media, queries, sharding, sieve, urls
 
 
 # sharding
@@ -139,6 +139,32 @@ def test_urls_with_many_rules(spark, monkeypatch, broadcast):
     assert got == {i: plain_verdict(u, [(h, p, v) for (h, p), v in held.items()])[2:] for i, u in pages}
 
 
+def test_sieve_inside_a_plan(spark):
+    """All listed rows pass, few others, none for an empty list, and the rows' own columns stay."""
+    df = spark.range(60_000).withColumn("_block", F.lit("own"))
+    keys = spark.range(0, 60_000, 7).select(F.xxhash64("id").alias("h"))
+    out = sieve.marked(df, F.xxhash64("id"), keys, "h", "may")
+    assert out.columns == ["id", "_block", "may"] and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert len(rows) == 60_000 and all(r.may for r in rows if r.id % 7 == 0) and sum(r.may for r in rows) < 60_000 / 7 * 1.1
+    assert sieve.sieved(df, F.xxhash64("id"), keys.limit(0), "h").count() == 0
+
+
+def test_cut_tables_are_removed(spark):
+    import os
+
+    from ordinale.llm import storage
+
+    a, b = storage.cut(spark.range(5).toDF("n"), "a"), storage.cut(spark.range(7).toDF("n"), "b")
+    place = storage.shared_folder(spark).removeprefix("file:")
+    assert a.count() == 5 and b.count() == 7
+    held = set(os.listdir(place))
+    storage.discard(a, spark.range(1))
+    assert len(held) - len(os.listdir(place)) == 1 and b.count() == 7
+    storage.clear(spark)
+    assert not os.path.exists(place) or not os.listdir(place)
+
+
 # media
 
 
