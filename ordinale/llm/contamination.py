@@ -1,8 +1,10 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Test questions and answers are normalised to words and cut into windows of consecutive
-words; all windows make one automaton over word numbers, which scans each document's words
-once. Hits are mapped back to character offsets of the original text.
+words; all windows make one automaton, which scans each document's words once. A word is
+written as its number in the benchmark's vocabulary, in two or three digits of base 64 that
+are characters of their own for each place, so no node has more than 64 branches and a match
+begins and ends with words. Hits are mapped back to character offsets of the original text.
 
 A benchmark of more than AUTOMATON_BYTES would make an automaton too large for a worker.
 Its windows become 64-bit codes in a table instead: a Bloom filter of them passes possible
@@ -25,8 +27,9 @@ from .urls import BlockedBloom, bloom
 from .words import Words, char_offsets, spans, steps, words
 
 WINDOW = 13
-#: Bytes of benchmark text that become an automaton: about 330,000 words, 4.3 million nodes and 250 MB in a worker.
-AUTOMATON_BYTES = 2_000_000
+#: Bytes of benchmark text that become an automaton: about 160,000 words, six million nodes and 300 MB in a worker.
+AUTOMATON_BYTES = 1_000_000
+BASE = 64
 
 
 class Benchmark:
@@ -42,18 +45,19 @@ class Benchmark:
         return self.__dict__ | {"_built": None}
 
     def automaton(self):
-        """Windows as sequences of word numbers, each with its length and the ids of the items it comes from."""
+        """Windows as digits, each with its number of words and the ids of the items it comes from."""
         if self._built is None:
             import ahocorasick
 
-            found: dict[tuple, set[str]] = {}
+            found: dict[str, tuple[int, set[str]]] = {}
             for name, ids in self.items:
-                w = ids.tolist()
-                for i in range(max(1, len(w) - self.size + 1)):
-                    found.setdefault(tuple(w[i : i + self.size]), set()).update(() if name is None else (name,))
-            self._built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for w, names in found.items():
-                self._built.add_word(w, (len(w), tuple(sorted(names))))
+                text, first = self.digits(ids)
+                many = min(self.size, len(ids))
+                for i in range(len(ids) - many + 1):
+                    found.setdefault(text[first[i] : first[i + many]], (many, set()))[1].update(() if name is None else (name,))
+            self._built = ahocorasick.Automaton()
+            for w, (many, names) in found.items():
+                self._built.add_word(w, (many, tuple(sorted(names))))
             self._built.make_automaton()
         return self._built
 
@@ -64,6 +68,18 @@ class Benchmark:
         at = np.minimum(np.searchsorted(self.vocabulary, code), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == code, at + 1, 0)
 
+    def digits(self, number: np.ndarray) -> tuple[str, np.ndarray]:
+        """Word numbers as digits, a space for a word that the benchmark doesn't have; and where each word's begin."""
+        places = 1
+        while BASE**places < len(self.vocabulary):
+            places += 1
+        known = number > 0
+        first = np.concatenate(([0], np.cumsum(np.where(known, places, 1))))
+        out = np.full(first[-1], 32, np.uint32)
+        for k in range(places):
+            out[first[:-1][known] + k] = 256 + BASE * k + (number[known] - 1) // BASE ** (places - 1 - k) % BASE
+        return out.tobytes().decode("utf-32-le"), first
+
 
 def stretches(hit: np.ndarray, cut: Words, i: int) -> list[list[int]]:
     """Start and end characters of the hit words' runs in text i."""
@@ -116,9 +132,11 @@ def _by_automaton(kept: DataFrame, benchmark: Benchmark, text: str) -> DataFrame
                     own = number[cut.first[i] : cut.first[i + 1]]
                     hit, names, where = np.zeros(len(own) + 1, np.int64), set(), []
                     if automaton is not None and own.any():
-                        for end, (length, items) in automaton.iter(tuple(own.tolist())):
-                            hit[end - length + 1] += 1
-                            hit[end + 1] -= 1
+                        digits, first = benchmark.digits(own)
+                        for end, (length, items) in automaton.iter(digits):
+                            last = int(np.searchsorted(first, end, "right"))
+                            hit[last - length] += 1
+                            hit[last] -= 1
                             names.update(items)
                     inside = np.cumsum(hit)[:-1] > 0
                     if inside.any():
