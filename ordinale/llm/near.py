@@ -14,15 +14,17 @@ that have not are matched anew with prefixes one byte shorter, against all texts
 the depth at which even a text with a single link at the threshold reaches the target.
 Texts in crowded groups stop early, and lone texts go down to that depth.
 
-Verification is by blocks: the components of all nodes, cut by hash to a bounded size. Two
-blocks are compared, once, where some node has texts of both, in one bounded task that
-intersects sets by matrix products and returns, instead of pairs, one row a text: its
+Verification is by blocks: the components of all nodes, those of more than a block's size cut
+into bands of set sizes and then by hash. Sets that are linked are in one band or in two that
+follow each other, so blocks farther apart are not compared at all; the others are, once,
+where some node has texts of both, in one bounded task that intersects sets by matrix products and returns, instead of pairs, one row a text: its
 number of links and the least text it is connected to. Texts with equal shingle sets are
 one node throughout, so copies cost nothing. Links between different texts are all counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,10 +224,12 @@ def _codes(docs: DataFrame, key: str, text: str, samples: DataFrame) -> DataFram
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """(i, j): blocks that have texts under one node, at least one of them open. One row a node and block is joined, not one a text."""
-    seen = met.groupBy("node", "block").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("n"))
-    a, b = seen.select("node", F.col("block").alias("i"), F.col("open").alias("_open"), F.col("n").alias("_n")), seen.select("node", F.col("block").alias("j"), F.col("open").alias("_other"))
-    return a.join(b, "node").where((F.col("_open") | F.col("_other")) & ((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("_n") > 1)))).select("i", "j").distinct()
+    """(i, j): blocks that have texts under one node, at least one of them open, and sets of sizes that can be linked. One row a node and block is joined, not one a text."""
+    seen = met.groupBy("node", "block", "band").agg(F.max("open").alias("open"), F.count(F.lit(1)).alias("n"))
+    a = seen.select("node", F.col("block").alias("i"), F.col("open").alias("_open"), F.col("n").alias("_n"), F.col("band").alias("_band"))
+    b = seen.select("node", F.col("block").alias("j"), F.col("open").alias("_other"), F.col("band").alias("_next"))
+    near = F.coalesce(F.abs(F.col("_band") - F.col("_next")) <= 1, F.lit(True))
+    return a.join(b, "node").where((F.col("_open") | F.col("_other")) & near & ((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("_n") > 1)))).select("i", "j").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -256,11 +260,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     homes = components(shared.where("fp != a").select("fp", "a").distinct(), "fp", "a")
     homes = homes.union(homes.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("home"))
     members = cut(homes.join(texts.select("fp", "n", "copies", "sample"), "fp"), "members")
-    sizes = members.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
-    sizes = sizes.repartition(F.xxhash64("home", "_blocks"))  # dealt anew, so that Spark may split the join where a home is hot
-    placed = members.join(sizes, "home").select("fp", "copies", F.xxhash64("home", F.pmod(F.xxhash64("fp"), "_blocks")).alias("block"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(max(threshold - 1e-6, 1e-6)))).cast("int")  # linked sets are in one band or in two that follow each other
+    members = members.withColumn("band", band)
+    sizes = members.groupBy("home", "band").agg(F.count(F.lit(1)).alias("_texts"), F.sum("n").alias("_shingles"))
+    wholes = sizes.groupBy("home").agg((F.ceil(F.sum("_texts") / BLOCK_TEXTS) + F.ceil(F.sum("_shingles") / BLOCK_SHINGLES) > 2).alias("_large"))
+    sizes = sizes.join(wholes, "home").select("home", "band", "_large", F.greatest(F.ceil(F.col("_texts") / BLOCK_TEXTS), F.ceil(F.col("_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
+    sizes = sizes.repartition(F.xxhash64("home", "band", "_blocks"))  # dealt anew, so that Spark may split the join where a home is hot
+    block = F.when(F.col("_large"), F.xxhash64("home", "band", F.pmod(F.xxhash64("fp"), "_blocks"))).otherwise(F.xxhash64("home"))
+    placed = members.join(sizes, ["home", "band"]).select("fp", "copies", block.alias("block"), F.when(F.col("_large"), F.col("band")).alias("band"))
     held = cut(placed.join(_codes(docs, key, text, members), "fp"), "held")
-    own = held.select("fp", "block")
+    own = held.select("fp", "block", "band")
 
     def check(table: pa.Table) -> pa.Table:
         return verify(table, threshold, depths)

@@ -166,6 +166,26 @@ def test_long_texts_meet_in_occupied_blocks_only(spark, documents, prose, monkey
     assert 1 <= sum(tasks) <= 3
 
 
+def test_sizes_too_far_apart_are_not_compared(spark, documents, prose, monkeypatch):
+    """Blocks meet if a node has texts of both, one of them is open, and their bands of set sizes follow each other."""
+    rows = [(1, 10, 0, True), (1, 10, 0, True), (1, 11, 1, False), (1, 12, 2, False), (2, 12, 2, True), (2, 13, None, False), (3, 11, 1, False), (3, 12, 2, False), (4, 14, 5, True), (5, 10, 0, True), (5, 14, 5, True)]
+    met = spark.createDataFrame(rows, "node long, block long, band int, open boolean")
+    assert sorted(map(tuple, near._pairs(met).collect())) == [(10, 10), (10, 11), (12, 13)]
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 8)
+    long = prose(1, 900).split()
+    texts = [(k, " ".join(long[: 60 + 14 * k])) for k in range(60)] + [(100 + k, " ".join([*long[:500], f"x{k}"])) for k in range(20)]
+    assert result(documents(texts)) == brute(texts)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_linked_sets_are_in_bands_that_follow_each_other(threshold):
+    """The largest set that can be linked to one of n is in the next band at most, also where logarithms are rounded."""
+    width = -np.log(threshold - 1e-6)
+    n = np.arange(1, 200_000)
+    most = np.floor(n / threshold + 1e-9)
+    assert (np.floor(np.log(most) / width) - np.floor(np.log(n) / width) <= 1).all()
+
+
 def test_recall_by_similarity(documents):
     """Pairs of random texts at given similarities, most of them just above the threshold: none is missed."""
     rows, want = [], 0
