@@ -259,9 +259,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     shared = cut(met.join(company, "node"), "shared")
     homes = components(shared.where("fp != a").select("fp", "a").distinct(), "fp", "a")
     homes = homes.union(homes.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("home"))
-    members = cut(homes.join(texts.select("fp", "n", "copies", "sample"), "fp"), "members")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(max(threshold - 1e-6, 1e-6)))).cast("int")  # linked sets are in one band or in two that follow each other
-    members = members.withColumn("band", band)
+    members = cut(homes.join(texts.select("fp", "n", "copies", "sample"), "fp").withColumn("band", band), "members")
     sizes = members.groupBy("home", "band").agg(F.count(F.lit(1)).alias("_texts"), F.sum("n").alias("_shingles"))
     wholes = sizes.groupBy("home").agg((F.ceil(F.sum("_texts") / BLOCK_TEXTS) + F.ceil(F.sum("_shingles") / BLOCK_SHINGLES) > 2).alias("_large"))
     sizes = sizes.join(wholes, "home").select("home", "band", "_large", F.greatest(F.ceil(F.col("_texts") / BLOCK_TEXTS), F.ceil(F.col("_shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
