@@ -10,6 +10,7 @@ sums the partitions, and each then adds up its own rows from the sum of those be
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,11 @@ def renumbered(df: DataFrame, rows: int | None = None, bucket: int = BUCKET) ->
     return ranked.join(offsets, F.col("_b") == F.col("_ob")).select((F.col("_r") - 1 + F.col("_o")).cast("bigint").alias(POS), *others)
 
 
-def numbered(df: DataFrame, order: list[Column], rows: int | None = None) -> DataFrame:
-    """`df` with ``pos`` by the given total order.
+def numbered(df: DataFrame, order: list[Column], rows: int | None = None, split: Column | None = None) -> DataFrame:
+    """`df` with ``pos`` by the given total order; where rows may be equal in it, in any order of theirs.
+
+    With `split`, rows that are equal in the order are dealt to partitions by it, so that
+    very many of them are no single task's.
 
     Large frames are range-partitioned and sorted; each partition's rows are counted and
     numbered from the sum of those before. Both uses must see the same partitions: they are
@@ -61,7 +65,7 @@ def numbered(df: DataFrame, order: list[Column], rows: int | None = None) -> Dat
     others = [c for c in df.columns if c != POS]
     if rows is not None and rows <= SMALL:
         return df.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint").alias(POS), *others)
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = df.repartitionByRange(*order, *([] if split is None else [split])).sortWithinPartitions(*order)
     held = ordered.select(*others, F.monotonically_increasing_id().alias("_i"))
     held = held.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else held.persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("_i", 33)
@@ -86,7 +90,7 @@ def running_sum(df: DataFrame, column: Column, integer: bool, name: str, rows: i
         summed = cut.select(POS, *(F.sum(n).over(upto).alias(n) for n in parts))
         return summed.select(POS, finish([F.col(n) for n in parts]).alias(name))
     if rows is not None and (starts := _partition_sums(cut, finish([F.sum(n) for n in parts]))) is not None:
-        return _summed_in_place(df.select(POS, column.alias(name)), name, integer, starts)
+        return _summed_in_place(df.select(POS, column.alias(name)), name, integer, starts, _from_range(_plan(df)))
     cut = cut.withColumn("_b", _bucket(bucket))
     totals = cut.groupBy("_b").agg(finish([F.sum(n) for n in parts]).alias("_t"))
     if integer:  # totals are wrapped already; limbs add up any number of them
@@ -101,9 +105,18 @@ def running_sum(df: DataFrame, column: Column, integer: bool, name: str, rows: i
     return both.select(POS, (exact.add_i64(inner, F.col("_o")) if integer else inner + F.col("_o")).alias(name))
 
 
+def _plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _from_range(plan: str) -> bool:
+    """Whether a plan is a generated range with projections and filters only, whose rows come in order."""
+    return all(re.match(r"[\s:+\-*()\d]*(Project|Filter|Range|ColumnarToRow|WholeStageCodegen)\b", line) for line in plan.splitlines() if line.strip())
+
+
 def _partition_sums(cut: DataFrame, total: Column) -> dict[int, tuple[int, int, object]] | None:
     """By partition: its first position, its rows and the sum of all before it. None unless each partition holds a range of positions, and the same in every job."""
-    plan = cut._jdf.queryExecution().executedPlan().toString()
+    plan = _plan(cut)
     if "Exchange" in plan or "Scan ExistingRDD" in plan:  # only scans of ranges and files deal rows out alike each time
         return None
     rows = cut.groupBy(F.spark_partition_id()).agg(F.min(POS).cast("bigint"), F.max(POS).cast("bigint"), F.count(F.lit(1)), total).collect()  # a row a partition
@@ -117,8 +130,8 @@ def _partition_sums(cut: DataFrame, total: Column) -> dict[int, tuple[int, int,
     return out
 
 
-def _summed_in_place(df: DataFrame, name: str, integer: bool, starts: dict[int, tuple[int, int, object]]) -> DataFrame:
-    """Running sums of a frame whose partitions were summed, partition by partition."""
+def _summed_in_place(df: DataFrame, name: str, integer: bool, starts: dict[int, tuple[int, int, object]], in_order: bool) -> DataFrame:
+    """Running sums of a frame whose partitions were summed, partition by partition; `in_order`: their rows are in the order of positions already."""
     kind = np.int64 if integer else np.float64
     shared = df.sparkSession.sparkContext.broadcast(starts)
 
@@ -138,8 +151,8 @@ def _summed_in_place(df: DataFrame, name: str, integer: bool, starts: dict[int,
             held, at, left = sums[-1:], at + len(pos), left - len(pos)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], [POS, name])
 
-    ordered = df.select(F.col(POS).cast("bigint").alias(POS), F.col(name).cast("bigint" if integer else "double").alias(name)).sortWithinPartitions(POS)
-    return ordered.mapInArrow(run, f"{POS} long, {name} {'long' if integer else 'double'}")
+    ordered = df.select(F.col(POS).cast("bigint").alias(POS), F.col(name).cast("bigint" if integer else "double").alias(name))
+    return (ordered if in_order else ordered.sortWithinPartitions(POS)).mapInArrow(run, f"{POS} long, {name} {'long' if integer else 'double'}")
 
 
 def previous(df: DataFrame, column: Column, name: str, before: str, rows: int | None = None, bucket: int = BUCKET) -> DataFrame:

@@ -175,13 +175,13 @@ def _numeric(x: Value, verb: str) -> None:
 
 
 def sort(x: Value) -> Value:
-    """Ascending: null integers first, NaN last, -0.0 before 0.0. Equal elements keep their order, so a value that very many have is dealt to several tasks."""
+    """Ascending: null integers first, NaN last, -0.0 before 0.0. A value that very many elements have is dealt to several tasks."""
     _numeric(x, "^")
     if isinstance(x, Atom):
         return x
     v = gathered(x)
     order = [F.asc_nulls_first(v.column)] if v.kind is Kind.I64 else [v.column.asc(), F.when(v.column == 0, F.atan2(v.column, F.lit(-1.0))).asc()]  # the sign decides only between zeros
-    return Vec(v.kind, Frame(numbered(v.frame.df, [*order, F.col(POS)], v.frame.length), v.frame.length), v.column)
+    return Vec(v.kind, Frame(numbered(v.frame.df, order, v.frame.length, split=F.col(POS)), v.frame.length), v.column)
 
 
 def unique(spark: SparkSession, x: Value) -> Vec:

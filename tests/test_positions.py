@@ -87,6 +87,7 @@ def test_running_sum_in_place(spark, frame, monkeypatch, integer, tmp_path):
         out = positions.running_sum(source, F.col("v"), integer, "s", 1000, bucket=64)
         assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == shuffled
         assert [r[1] for r in out.orderBy("pos").collect()] == (want if integer else pytest.approx(want))
+        assert shuffled or ("Sort [pos" in out._jdf.queryExecution().executedPlan().toString()) == (source is backwards)
 
 
 def test_sums_of_ranges_are_one_plain_sum(spark):
