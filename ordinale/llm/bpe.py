@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +24,9 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TOP = 0x180
 #: Characters without a space beyond which a text goes to the library: merging takes as many rounds as a piece has merges.
 LONGEST = 200
+#: Characters that are split and merged together, in some 60 bytes each; longer texts are cut at spaces, which stand in no piece.
+STEP = 1 << 20
+_SPACE, _LONG = re.compile(r"\s"), re.compile(rf"\S{{{LONGEST + 1}}}")
 _NEVER = np.int64(1) << 62
 
 
@@ -128,7 +133,7 @@ class BatchEncoder:
 
     def _sure(self, texts: list[str]) -> Encoded:
         """Ids of texts whose characters are all within the table."""
-        chars = np.frombuffer("".join(texts).lower().encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.frombuffer("".join(texts).lower().encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) for t in texts])
         if not len(chars):
             return Encoded(np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
@@ -141,7 +146,7 @@ class BatchEncoder:
         # an apostrophe that begins a run takes one of the short endings along
         tick = np.flatnonzero(start & (chars == 39))
         if len(tick):
-            padded, new = np.concatenate((chars, [0, 0, 0])), np.concatenate((fresh, [True, True, True]))
+            padded, new = np.concatenate((chars, np.zeros(3, np.uint32))), np.concatenate((fresh, [True, True, True]))
             a, b = padded[tick + 1], np.where(new[tick + 2], 0, padded[tick + 2])
             a = np.where(new[tick + 1], 0, a)
             one = np.isin(a, [ord(c) for c in "stmd"])
@@ -155,16 +160,17 @@ class BatchEncoder:
             return Encoded(np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
         solid = np.flatnonzero(kind != 0)
         size = np.diff(np.append(np.searchsorted(solid, start), len(solid)))
-        wide = (chars[solid] >= 128).astype(np.int64)
+        chars = chars[solid]
         # a code for each piece, to find the distinct ones
         place = np.arange(len(solid)) - np.repeat(np.cumsum(size) - size, size)
-        code = mix((chars[solid].astype(np.uint64) << np.uint64(20)) + place.astype(np.uint64))
+        code = mix((chars.astype(np.uint64) << np.uint64(20)) + place.astype(np.uint64))
         code = np.add.reduceat(code, np.cumsum(size) - size) + size.astype(np.uint64)
         _, sample, which = np.unique(code, return_index=True, return_inverse=True)
         # the bytes of the distinct pieces
         own = np.cumsum(size) - size
         picked = np.repeat(own[sample] - np.concatenate(([0], np.cumsum(size[sample])[:-1])), size[sample]) + np.arange(size[sample].sum())
-        char, two = chars[solid][picked], wide[picked].astype(bool)
+        char = chars[picked].astype(np.int64)
+        two = char >= 128
         where = np.cumsum(1 + two) - 1 - two
         out = np.empty(int((1 + two).sum()), np.int64)
         out[where] = np.where(two, 0xC0 | (char >> 6), char)
@@ -180,18 +186,38 @@ class BatchEncoder:
         ids = coded.ids[np.repeat(coded.first[which] - total[:-1], count) + np.arange(total[-1])]
         return Encoded(ids.astype(np.uint32), np.concatenate(([0], total[np.searchsorted(start, ends)])))
 
+    def _sure_parts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, of STEP characters at a time."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > STEP:
+                yield from self._each(held)
+                held, size = [], 0
+            if len(text) > STEP:
+                cuts = [0]
+                while len(text) - cuts[-1] > STEP and (space := _SPACE.search(text, cuts[-1] + STEP)):
+                    cuts.append(space.start())
+                yield np.concatenate([self._sure([text[a:b]]).ids for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)])
+            else:
+                held.append(text)
+                size += len(text)
+        yield from self._each(held)
+
+    def _each(self, texts: list[str]) -> Iterator[np.ndarray]:
+        coded = self._sure(texts)
+        yield from (coded.ids[a:b] for a, b in pairwise(coded.first.tolist()))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         sure = list(range(len(texts))) if self.fast else []
         joined = "\n".join(texts)
         if sure and _UNSURE.search(joined):
             sure = [i for i in sure if not _UNSURE.search(texts[i])]
-        if sure and max(map(len, joined.split()), default=0) > LONGEST:
-            sure = [i for i in sure if max(map(len, texts[i].split()), default=0) <= LONGEST]
+        if sure and _LONG.search(joined):
+            sure = [i for i in sure if not _LONG.search(texts[i])]
         out: list = [None] * len(texts)
-        if sure:
-            coded = self._sure([texts[i] for i in sure])
-            for j, i in enumerate(sure):
-                out[i] = coded.ids[coded.first[j] : coded.first[j + 1]]
+        for i, ids in zip(sure, self._sure_parts([texts[i] for i in sure]), strict=True):
+            out[i] = ids
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
             for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):

@@ -34,7 +34,7 @@ END_ID = 1
 #: Tokens that are packed together, at most one document more.
 BLOCK_TOKENS = 1 << 19
 #: Bytes of text that are encoded together.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 class Packer:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ordinale.llm import contamination, fitting, licences, packing, quality, queries, toxicity
+from ordinale.llm import bpe, contamination, fitting, licences, packing, quality, queries, toxicity
 from ordinale.llm.bpe import BatchEncoder
 from ordinale.llm.words import FOLD, words_of
 
@@ -627,3 +628,26 @@ def test_batch_encoder_on_the_whole_table(spark, data):
     encode = BatchEncoder(queries.tokenizer_path())
     texts = [t or "" for t in docs_of(spark, data).values()]
     assert all(list(a) == b.ids for a, b in zip(encode(texts), encode.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_batch_encoder_in_steps(monkeypatch):
+    """Cut at spaces or not, texts have the same ids."""
+    encode = BatchEncoder(queries.tokenizer_path())
+    texts = ["", "don't we'll\tthey've  I'm\n" * 60, "a1b22 c³½ ñ×ª 's ' ll\r\n " * 70, "x", " " * 500, "'s", "ünïcödé " * 9, "y" * 199 + " z'll" * 90]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for step in (1, 2, 7, 64, 300, 1 << 20):
+        monkeypatch.setattr(bpe, "STEP", step)
+        assert [list(x) for x in encode(texts)] == want
+
+
+def test_batch_encoder_takes_bounded_memory(prose):
+    """Four million characters, as many texts and as one, are not held as arrays all at once."""
+    encode = BatchEncoder(queries.tokenizer_path())
+    many = [prose(i, 3500) for i in range(200)]
+    for texts in (many, [" ".join(many)]):
+        tracemalloc.start()
+        ids = encode(texts)
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert sum(map(len, texts)) > 4_000_000 and sum(map(len, ids)) > 1_000_000
+        assert peak < 130 << 20, peak >> 20
