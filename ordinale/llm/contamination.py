@@ -25,6 +25,7 @@ from .columns import masked, unmasked
 from .storage import cut as cut_
 from .urls import BlockedBloom, bloom
 from .words import Words, char_offsets, spans, steps, words
+from .workers import tidy
 
 WINDOW = 13
 #: Bytes of benchmark text that become an automaton: about 160,000 words, six million nodes and 300 MB in a worker.
@@ -145,7 +146,7 @@ def _by_automaton(kept: DataFrame, benchmark: Benchmark, text: str) -> DataFrame
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(out, TYPES, strict=True))], schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,7 @@ def _by_join(kept: DataFrame, rows: DataFrame, text: str, size: int) -> DataFram
 
     own, inner = masked(kept, kept.columns)
     own = own.withColumn("_own", F.xxhash64(inner[text]))
-    possible = own.select(F.col("_own").alias("_hash"), F.col(inner[text]).cast("string").alias("text")).mapInArrow(probe, "code long, _hash long, at long, size long").distinct()
+    possible = own.select(F.col("_own").alias("_hash"), F.col(inner[text]).cast("string").alias("text")).mapInArrow(tidy(probe), "code long, _hash long, at long, size long").distinct()
     hits = cut_(possible.join(windows.select("code", "size").distinct(), ["code", "size"]), "hits")
     items = hits.select("code", "size", "_hash").distinct().join(windows, ["code", "size"]).select("_hash", "item").distinct().groupBy("_hash").agg(F.array_sort(F.collect_list("item")).alias("items"))
     places = hits.groupBy("_hash").agg(F.collect_list(F.struct("at", "size")).alias("places"))
@@ -211,7 +212,7 @@ def _by_join(kept: DataFrame, rows: DataFrame, text: str, size: int) -> DataFram
                 items = items.fill_null([]) if items.null_count else items
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(np.diff(cut.first)), pa.array(n, TYPES[1]), items, pa.array(where, TYPES[3])], schema.fieldNames())
 
-    return unmasked(joined.mapInArrow(run, schema), inner, *(n for n, _ in MADE))
+    return unmasked(joined.mapInArrow(tidy(run), schema), inner, *(n for n, _ in MADE))
 
 
 def contaminated(n_hit="n_hit", n_words="n_words"):

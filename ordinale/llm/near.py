@@ -38,6 +38,7 @@ from .graph import components
 from .sieve import sieved
 from .storage import cut, discard
 from .words import Words, grams, mix, steps, words
+from .workers import tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -128,7 +129,7 @@ def sign(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) ->
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(own.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64), mask=~some), pa.array(np.diff(cut_.first)), pa.array(n), lists], schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def nodes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def _codes(docs: DataFrame, key: str, text: str, samples: DataFrame) -> DataFram
                     data = c.tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array([data[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["fp", "codes"])
 
-    return rows.select("_t").mapInArrow(run, "fp long, codes binary").groupBy("fp").agg(F.first("codes").alias("codes"))
+    return rows.select("_t").mapInArrow(tidy(run), "fp long, codes binary").groupBy("fp").agg(F.first("codes").alias("codes"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from .bpe import BatchEncoder
 from .words import steps
+from .workers import tidy
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -190,4 +191,4 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
             if out:
                 yield flush()
 
-    return df.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(run, schema)
+    return df.select(F.col(key), F.col(text).cast("string").alias(text)).mapInArrow(tidy(run), schema)

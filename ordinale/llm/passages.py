@@ -32,6 +32,7 @@ from .sieve import marked, sieved
 from .storage import cut as cut_
 from .storage import discard
 from .words import Words, grams, spans, steps, words
+from .workers import tidy
 
 #: Words of the shortest passage; the others follow.
 LENGTH = 50
@@ -208,7 +209,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(cut.first)), pa.ListArray.from_arrays(pa.array(ends), items)], ["k", "_hash", "n_words", "heads"])
 
     schema = T.StructType([source.schema["k"], *(T.StructField(n, T.LongType()) for n in ("_hash", "n_words")), T.StructField("heads", T.ArrayType(T.StructType([T.StructField("head", T.BinaryType()), T.StructField("n", T.IntegerType())])))])
-    scanned = cut_(source.select("k", "_hash", "t").mapInArrow(retain, schema), "suffixes")
+    scanned = cut_(source.select("k", "_hash", "t").mapInArrow(tidy(retain), schema), "suffixes")
     texts = scanned.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     order = ("head", "_hash", "k")  # with the key, so that no suffix is too common to be split
     suffixes = scanned.select("_hash", "k", F.explode("heads").alias("_s")).select("_s.head", "_hash", "k", "_s.n")
@@ -259,7 +260,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     names = ["head", "_hash", "at", "left", "right", "starts"]
     near = sieved(source.withColumn("_mark", F.xxhash64("k", "_hash")), F.col("_mark"), chosen.select(F.xxhash64("_first.k", "_hash").alias("_wanted")), "_wanted")
     candidates = near.groupBy("_hash").agg(F.first("t").alias("t")).join(chosen.select("_hash", "seeds"), "_hash").select("_hash", "t", "seeds")
-    grown = cut_(candidates.mapInArrow(cut_out, "head binary, _hash long, at int, left binary, right binary, starts array<int>"), "grown")
+    grown = cut_(candidates.mapInArrow(tidy(cut_out), "head binary, _hash long, at int, left binary, right binary, starts array<int>"), "grown")
     first = chosen.select("_hash", "_first")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +279,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
             yield out
 
     suffixes = grown.where(F.col("at").isNotNull()).select("head", "_hash", "at", "left", "right").join(first, "_hash")
-    pairs = suffixes.repartition("head").sortWithinPartitions("head", "_first", "at").select("head", "_hash", "at", "left", "right").mapInArrow(compare, "_hash long, starts array<int>, later array<int>")
+    pairs = suffixes.repartition("head").sortWithinPartitions("head", "_first", "at").select("head", "_hash", "at", "left", "right").mapInArrow(tidy(compare), "_hash long, starts array<int>, later array<int>")
     stretches = cut_(grown.where(F.col("at").isNull()).select(F.col("head").alias("stretch"), "_hash", "starts").join(first, "_hash"), "stretches")
     met = stretches.groupBy("stretch").agg(F.min("_first").alias("a"), F.max("_first").alias("b")).where("a < b").select("stretch", "a")
     met = stretches.join(met.repartition(F.xxhash64("stretch", "a")), "stretch").select("_hash", "starts", F.when(F.col("a") < F.col("_first"), F.col("starts")).otherwise(F.array().cast("array<int>")).alias("later"))
@@ -353,5 +354,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 new, gone = without(part.column(column), part.column(len(names)), length)
                 yield pa.RecordBatch.from_arrays([*(new if i == column else part.column(i) for i in range(len(names))), pa.array(gone)], schema.fieldNames())
 
-    cut_short = joined.select(*names, "later").mapInArrow(run, schema).where(~F.col("_gone")).select(*names)
+    cut_short = joined.select(*names, "later").mapInArrow(tidy(run), schema).where(~F.col("_gone")).select(*names)
     return unmasked(tested.where(~F.col("_may")).select(*names).union(cut_short), inner)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .fitting import labelled, logistic, with_label
 from .words import FOLD, steps
+from .workers import tidy
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("абвеіјкмнорсѕтухԁһӏαβεικνορτυχω", "abbeijkmhopcstyxdhlabeiknoptuxw", strict=True))
@@ -125,7 +126,7 @@ def _scan(df: DataFrame, text: str, model: Model) -> DataFrame:
                 both = [weigh(f, automaton) if automaton is not None and (f := fold(t)) else (0, 0.0) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.float64())], schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def _evidence(toxic: int, clean: int, share: float) -> float:
@@ -191,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         rows.clear()
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], ["term", "toxic", "clean"])
 
-    counts = chosen.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = chosen.mapInArrow(tidy(count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = sum(sample.values()), len(sample) - sum(sample.values())
     odds = F.log((F.col("toxic") + 0.5) / (totals[0] + 1)) - F.log((F.col("clean") + 0.5) / (totals[1] + 1))
     share = totals[0] / (totals[0] + totals[1])
@@ -216,7 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
                     seen[""] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        alone = {r.term: r[1] for r in bare.mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a row a rare term at most
+        alone = {r.term: r[1] for r in bare.mapInArrow(tidy(tally), "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a row a rare term at most
         left = alone.pop("", 0)
         listed |= {t for t, k in alone.items() if k >= LEAST and _evidence(k, found[t].clean, left / (left + totals[1])) >= chance}
     lexicon = _families({t: found[t] for t in listed})
