@@ -25,7 +25,7 @@ _TOP = 0x180
 #: Characters without a space beyond which a text goes to the library: merging takes as many rounds as a piece has merges.
 LONGEST = 200
 #: Characters that are split and merged together, in some 60 bytes each; longer texts are cut at spaces, which stand in no piece.
-STEP = 1 << 20
+STEP = 1 << 18
 _SPACE, _LONG = re.compile(r"\s"), re.compile(rf"\S{{{LONGEST + 1}}}")
 _NEVER = np.int64(1) << 62
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Labelled rows that a classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -27,8 +30,12 @@ def labelled(labels: DataFrame, label: str, key: str = "doc_id", rows: int = SAM
 
 def with_label(docs: DataFrame, sample: dict, key: str = "doc_id", name: str = "_label") -> DataFrame:
     """The sampled documents, with their labels; the sample is bounded, so it is broadcast."""
-    kind = docs.schema[key].dataType.simpleString()
-    held = docs.sparkSession.createDataFrame(list(sample.items()), f"`{key}` {kind}, `{name}` int")
+    kind = docs.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField(name, T.IntegerType())])
+    rows: list | pa.Table = list(sample.items())
+    if isinstance(kind, T.IntegralType) or kind == T.StringType():  # rows of a list would go through Python workers of their own kind, which stay
+        rows = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((list(sample), list(sample.values())), to_arrow_schema(schema), strict=True)], [key, name])
+    held = docs.sparkSession.createDataFrame(rows, schema)
     return docs.join(F.broadcast(held), key)
 
 

@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts = cut(some.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col(key), F.col("_text"))).alias("sample"), F.first("n").alias("n"), F.first("labels").alias("labels")), "texts")
     rows = texts.where(F.col("labels").isNotNull()).select("fp", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "fp")
     order = ("tree", "label", "fp")
-    met = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: nodes(batches, least), "depth int, node long, fp long"), "nodes")
+    met = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidy(lambda batches: nodes(batches, least)), "depth int, node long, fp long"), "nodes")
     company = met.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("node", "a")
     shared = cut(met.join(company, "node"), "shared")
     homes = components(shared.where("fp != a").select("fp", "a").distinct(), "fp", "a")

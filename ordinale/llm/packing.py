@@ -28,14 +28,14 @@ from pyspark.sql import types as T
 
 from .bpe import BatchEncoder
 from .words import steps
-from .workers import tidy
+from .workers import release, tidy
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens that are packed together, at most one document more.
 BLOCK_TOKENS = 1 << 19
 #: Bytes of text that are encoded together.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 class Packer:
@@ -129,6 +129,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = BatchEncoder(tokenizer_path), Packer(tiers)
+        release()  # reading the vocabulary takes more than keeping it
         base = TaskContext.get().partitionId() << 33
         made, out, held = 0, [], 0
         open_: dict[int, list[list[tuple]]] = {}

@@ -213,7 +213,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     texts = scanned.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     order = ("head", "_hash", "k")  # with the key, so that no suffix is too common to be split
     suffixes = scanned.select("_hash", "k", F.explode("heads").alias("_s")).select("_s.head", "_hash", "k", "_s.n")
-    seeds = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("head", "_hash", "n").mapInArrow(lambda b: neighbours(b, head), "head binary, _hash long, n int")
+    seeds = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("head", "_hash", "n").mapInArrow(tidy(lambda b: neighbours(b, head)), "head binary, _hash long, n int")
     seeds = cut_(seeds, "seeds")
     runs = seeds.groupBy("head").agg(F.sum("n").alias("_n"), F.min("_hash").alias("_a"), F.max("_hash").alias("_b")).where("_a < _b").select("head", (F.col("_n") > RUN).alias("many"))
     chosen = seeds.join(runs.repartition(F.xxhash64("head", "many")), "head").groupBy("_hash").agg(F.collect_set(F.struct("head", "many")).alias("seeds"))

@@ -122,7 +122,7 @@ def _scan(df: DataFrame, text: str, model: Model) -> DataFrame:
         automaton = model.automaton() if model.lexicon else None
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            for part in steps(batch, text, 4 << 20):
+            for part in steps(batch, text):
                 both = [weigh(f, automaton) if automaton is not None and (f := fold(t)) else (0, 0.0) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.float64())], schema.fieldNames())
 
@@ -175,9 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(terms(fold(t)))
-                seen[y][""] += 1
+            for part in steps(batch, "_text"):
+                for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    seen[y].update(terms(fold(t)))
+                    seen[y][""] += 1
         for t in [*seen[1], *(x for x in seen[0] if x not in seen[1])]:
             out.append((t, seen[1][t], seen[0][t]))
             if len(out) == 50_000:
@@ -207,17 +208,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     listed = {t for t, r in found.items() if r.toxic >= totals[0] // 100}
     rare = set(found) - listed
     if rare:
-        bare = _scan(chosen.where("_label = 1"), "_text", Model(_families({t: found[t] for t in listed}), exceptions, 1.0, 0.0)).where("n_terms = 0").select("_text")
+        common = docs.sparkSession.sparkContext.broadcast(Model(_families({t: found[t] for t in listed}), exceptions, 1.0, 0.0))
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rare terms of the texts without any common one; scanned here, as a Python node before this one would need workers of its own."""
             seen: Counter = Counter()
+            automaton = common.value.automaton() if common.value.lexicon else None
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    seen.update(terms(fold(t)) & rare)
-                    seen[""] += 1
+                for part in steps(batch, "_text"):
+                    for f in map(fold, part.column(0).to_pylist()):
+                        if not f or automaton is None or not weigh(f, automaton)[0]:
+                            seen.update(terms(f) & rare)
+                            seen[""] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        alone = {r.term: r[1] for r in bare.mapInArrow(tidy(tally), "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a row a rare term at most
+        alone = {r.term: r[1] for r in chosen.where("_label = 1").select("_text").mapInArrow(tidy(tally), "term string, n long").groupBy("term").agg(F.sum("n")).collect()}  # a row a rare term at most
         left = alone.pop("", 0)
         listed |= {t for t, k in alone.items() if k >= LEAST and _evidence(k, found[t].clean, left / (left + totals[1])) >= chance}
     lexicon = _families({t: found[t] for t in listed})

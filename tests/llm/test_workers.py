@@ -3,8 +3,10 @@
 import re
 import subprocess
 import sys
+import zlib
 
-from ordinale.llm import workers
+from ordinale.llm import toxicity, workers
+from ordinale.llm.storage import cut, discard
 
 KEPT = """
 import re, pyarrow as pa
@@ -46,3 +48,24 @@ def test_rows_and_errors_pass_through():
         assert re.search("zero", str(e))
     else:
         raise AssertionError("no error")
+
+
+def test_learning_takes_one_worker_a_task(spark, documents, prose, monkeypatch):
+    """A second Python node in a task, or rows made from a list, would take workers of their own, and those stay."""
+    kind = type(spark.range(0))
+    plain, inputs = kind.mapInArrow, []
+
+    def seen(self, *args, **more):
+        inputs.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, *args, **more)
+
+    monkeypatch.setattr(kind, "mapInArrow", seen)
+    ids = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 4 != 2][:9000]
+    toxic = ids[::15]
+    extra = dict.fromkeys(toxic, " vilething") | dict.fromkeys(toxic[100:105], " rarething")
+    docs = cut(documents([(i, prose(i, 8) + extra.get(i, "")) for i in ids]))
+    labels = cut(spark.createDataFrame([(i, 0, int(i in extra)) for i in ids], "doc_id long, quality int, toxic int"))
+    model = toxicity.learn(docs, labels)
+    discard(docs, labels)
+    assert " rarething " in model.lexicon and len(inputs) == 3
+    assert not any("MapInArrow" in p or "LogicalRDD" in p for p in inputs), inputs
